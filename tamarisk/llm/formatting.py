@@ -51,7 +51,7 @@ def _tables() -> tuple[np.ndarray, dict[int, str], dict[tuple[int, int], int]]:
     composed = {}
     for point in range(0xC0, 0x2000):
         parts = unicodedata.normalize("NFD", chr(point))
-        if len(parts) == 2 and 0x300 <= ord(parts[1]) < 0x370 and one[point]:
+        if len(parts) == 2 and 0x300 <= ord(parts[1]) < 0x370 and one[point] and parts[0] not in LOOKALIKE:
             composed[(int(one[ord(parts[0])]), ord(parts[1]))] = int(one[point])
     return one, several, composed
 

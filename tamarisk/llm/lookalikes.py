@@ -33,12 +33,12 @@ def form_sql(column: str) -> str:
     sql = f"translate({sql}, {_text(''.join(pairs))}, {_text(''.join(pairs.values()))})"
     for a, b in LIGATURES.items():
         sql = f"replace({sql}, {_text(a)}, {_text(b)})"
-    return rf"trim(regexp_replace(nfc_normalize({sql}), '[ \t\r\n\f\v]+', ' ', 'g'))"
+    return rf"trim(regexp_replace(nfc_normalize({sql}), '[ \t\r\n\f\v]+', ' ', 'g'), ' ')"
 
 
 def plain_sql(column: str) -> str:
     """DuckDB SQL of the stored characters with ordinary white space made even."""
-    return rf"trim(regexp_replace(coalesce({column}, ''), '[ \t\r\n\f\v]+', ' ', 'g'))"
+    return rf"trim(regexp_replace(coalesce({column}, ''), '[ \t\r\n\f\v]+', ' ', 'g'), ' ')"
 
 
 def _digest(parts: list[str]) -> list[str]:
@@ -56,7 +56,7 @@ def duckdb_batches(query: str, schema: pa.Schema):
             for batch in batches:
                 if batch.num_rows:
                     db.register("t", pa.Table.from_batches([batch]))
-                    made = db.execute(query).to_arrow_table()
+                    made = db.sql(query).to_arrow_table()
                     db.unregister("t")
                     yield from made.cast(schema).to_batches()
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import batches, places
+from . import batches, formatting, lookalikes, places
 
 QUERIES = {
     "p2_found": batches.found,
     "p3_found": places.found,
+    "p4_found": formatting.found,
+    "p4_copies": formatting.collapsed,
+    "p5_found": lookalikes.found,
+    "p5_forms": lookalikes.all_forms,
 }
 
 ORACLE: dict[str, str] = {}
