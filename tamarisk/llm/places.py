@@ -16,9 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import key_sql, materialise, sql, table
-
-MAX_EDITS = 2  # k: a swap of two neighbours counts two for levenshtein
-MIN_FUZZY = 5  # shorter names must be exact
+from .pigeonhole import pigeonhole
 
 # Words of a value, each n-gram of up to four, joined without spaces; its place and number of words.
 GRAMS = """
@@ -29,50 +27,6 @@ GRAMS = """
                 FROM {split} WHERE size(words) > 0))
 """
 
-# Which substrings of a gram of length l may be segment s (of k + 1, from 1) of a name of length m: the segment starts at
-# 1 + floor((s - 1) m / (k + 1)); s - 1 edits at most lie before it, k + 1 - s after it (as |l - m| of them are spent).
-PROBES = """
-    SELECT field_name, raw_value, gram, m, s, substring(gram, pos, len) AS piece
-    FROM (SELECT *, explode(sequence(greatest(1, start - (s - 1), start + (length(gram) - m) - ({k} + 1 - s)),
-                                     least(length(gram) - len + 1, start + (s - 1),
-                                           start + (length(gram) - m) + ({k} + 1 - s)))) AS pos
-          FROM (SELECT *, CAST(1 + floor((s - 1) * m / ({k} + 1)) AS INT) AS start,
-                       CAST(floor(s * m / ({k} + 1)) - floor((s - 1) * m / ({k} + 1)) AS INT) AS len
-                FROM (SELECT field_name, raw_value, gram, m, explode(sequence(1, {k} + 1)) AS s
-                      FROM (SELECT field_name, raw_value, gram,
-                                   explode(sequence(greatest({least}, length(gram) - {k}), length(gram) + {k})) AS m
-                            FROM {grams} WHERE length(gram) >= {least} - {k})))
-          WHERE greatest(1, start - (s - 1), start + (length(gram) - m) - ({k} + 1 - s))
-             <= least(length(gram) - len + 1, start + (s - 1), start + (length(gram) - m) + ({k} + 1 - s)))
-"""
-
-SEGMENTS = """
-    SELECT name, m, s, substring(name, CAST(1 + floor((s - 1) * m / ({k} + 1)) AS INT),
-                                 CAST(floor(s * m / ({k} + 1)) - floor((s - 1) * m / ({k} + 1)) AS INT)) AS piece
-    FROM (SELECT name, length(name) AS m, explode(sequence(1, {k} + 1)) AS s
-          FROM (SELECT DISTINCT name FROM {names} WHERE length(name) >= {least}))
-"""
-
-# One edit, or two that are a swap of two neighbours: the same letters in another order, no other difference.
-VERIFIED = """
-    SELECT field_name, raw_value, gram, name
-    FROM (SELECT DISTINCT p.field_name, p.raw_value, p.gram, g.name
-          FROM {probes} p JOIN {segments} g ON p.m = g.m AND p.s = g.s AND p.piece = g.piece)
-    WHERE levenshtein(gram, name, 2) BETWEEN 0 AND 1
-       OR (length(gram) = length(name) AND levenshtein(gram, name, 2) = 2
-           AND array_sort(split(gram, '')) = array_sort(split(name, '')))
-"""
-
-
-def pigeonhole(spark: SparkSession, grams: DataFrame, names: DataFrame, k: int = MAX_EDITS, least: int = MIN_FUZZY) -> DataFrame:
-    """(field_name, raw_value, gram, name): grams within one edit or one swap of a name. grams and names in one form."""
-    probes = sql(
-        spark, PROBES.replace("{k}", str(k)).replace("{least}", str(least)), grams=grams
-    )
-    segments = sql(spark, SEGMENTS.replace("{k}", str(k)).replace("{least}", str(least)), names=names)
-    return sql(spark, VERIFIED, probes=probes, segments=segments)
-
-
 def _values(spark: SparkSession, jobs: DataFrame, field: str) -> DataFrame:
     """Distinct values with their words; a letter-case or look-alike difference is none for the words."""
     words = rf"filter(split(regexp_replace({key_sql('raw_value')}, '[^\\p{{L}}\\p{{N}}]+', ' '), ' '), x -> x <> '')"
@@ -127,7 +81,7 @@ def match_locations(spark: SparkSession, jobs: DataFrame, places: DataFrame) ->
     )
     rest = sql(
         spark,
-        """SELECT g.* FROM {grams} g
+        """SELECT g.raw_value AS owner, g.gram FROM {grams} g
            LEFT ANTI JOIN {exact} e ON g.raw_value = e.raw_value
            LEFT ANTI JOIN {countries} c ON g.gram = c.name
            WHERE g.n <= 3""",
@@ -138,7 +92,7 @@ def match_locations(spark: SparkSession, jobs: DataFrame, places: DataFrame) ->
     near = pigeonhole(spark, rest, sql(spark, "SELECT name FROM {names} WHERE kind <> 'code'", names=names))
     close = sql(
         spark,
-        """SELECT v.raw_value, n.location_id, n.country, length(v.name) AS len
+        """SELECT v.owner AS raw_value, n.location_id, n.country, length(v.name) AS len
            FROM {near} v JOIN {names} n ON v.name = n.name AND n.kind <> 'code'""",
         near=near,
         names=names,
@@ -178,10 +132,10 @@ def match_job_types(spark: SparkSession, jobs: DataFrame, types: DataFrame) -> D
         grams=grams,
         names=names,
     )
-    near = pigeonhole(spark, grams, names)
+    near = pigeonhole(spark, grams.selectExpr("raw_value AS owner", "gram"), names)
     close = sql(
         spark,
-        """SELECT v.raw_value, n.job_type_id, 3 AS how, 1 AS at FROM {near} v JOIN {names} n ON v.name = n.name""",
+        """SELECT v.owner AS raw_value, n.job_type_id, 3 AS how, 1 AS at FROM {near} v JOIN {names} n ON v.name = n.name""",
         near=near,
         names=names,
     )

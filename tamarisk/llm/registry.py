@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import batches, formatting, lookalikes, places
+from . import batches, formatting, lookalikes, names, places
 
 QUERIES = {
     "p2_found": batches.found,
@@ -11,6 +11,7 @@ QUERIES = {
     "p4_copies": formatting.collapsed,
     "p5_found": lookalikes.found,
     "p5_forms": lookalikes.all_forms,
+    "p6_found": names.found,
 }
 
 ORACLE: dict[str, str] = {}
