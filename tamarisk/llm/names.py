@@ -122,21 +122,34 @@ def cores(names: DataFrame, what: str = "p6") -> DataFrame:
     split = split.withColumn("last", last).join(kinds, F.col("last") == F.col("owner"), "left")
     several, front = F.size("words") > 1, F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0)))
     split = split.withColumns({
+        "full": F.when(F.col("meant").isNull() & F.col("brief").isNotNull() & several, F.col("words")),
         "words": F.when(F.col("head").isNotNull(), F.concat(front, F.array("head"))).when(F.col("owner").isNotNull() & several, front).otherwise(F.col("words")),
         "trade": F.coalesce("trade", F.when(F.col("head").isNotNull() | several, F.col("meant"))),
         "brief": F.when(F.col("meant").isNull() & several, F.col("brief")),
     })
+    split = split.withColumns({"words": _without_acronym("words"), "full": _without_acronym("full")})
+    split = split.where((F.size("words") > 0) & ~F.arrays_overlap("words", fixed(MISSING)))
+    split = split.withColumns({"core": F.array_join("words", ""), "full_core": F.array_join("full", "")})
+    # What looks like an abbreviation is a word of the name where the name is known with it.
+    known = split.where("full IS NULL").select(F.col("core").alias("known")).distinct()
+    split = split.join(known, F.col("full_core") == F.col("known"), "left")
+    whole = F.col("known").isNotNull()
+    return split.select(
+        "name", "n", F.when(whole, F.col("full")).otherwise(F.col("words")).alias("words"), F.when(whole, F.col("known")).otherwise(F.col("core")).alias("core"), "trade",
+        F.when(~whole, F.col("brief")).alias("brief"),
+    )
+
+
+def _without_acronym(words: str) -> Column:
+    """The words without an acronym in front or behind: the initials of the words that it stands with."""
 
-    # An acronym in front or behind: the initials of the words that it stands with.
     def without(first: bool) -> Column:
-        word = F.get("words", F.lit(0)) if first else F.element_at("words", -1)
-        rest = F.slice("words", 2, 8) if first else F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0)))
+        word = F.get(words, F.lit(0)) if first else F.element_at(words, -1)
+        rest = F.slice(words, 2, 8) if first else F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
         initials = F.array_join(F.transform(rest, lambda x: F.substring(x, 1, 1)), "")
         return F.when(F.length(word).between(2, 4) & F.startswith(word, initials) & (F.length(word) - F.length(initials) <= 2), rest)
 
-    split = split.withColumn("words", F.coalesce(F.when(F.size("words") > 1, F.coalesce(without(True), without(False))), F.col("words")))
-    split = split.where((F.size("words") > 0) & ~F.arrays_overlap("words", fixed(MISSING)))
-    return split.select("name", "n", "words", F.array_join("words", "").alias("core"), "trade", "brief")
+    return F.coalesce(F.when(F.size(words) > 1, F.coalesce(without(True), without(False))), F.col(words))
 
 
 def link(names: DataFrame, what: str = "p6") -> DataFrame:
