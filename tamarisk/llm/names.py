@@ -153,7 +153,7 @@ def _without_acronym(words: str) -> Column:
 
 
 def link(names: DataFrame, what: str = "p6") -> DataFrame:
-    """names(name, n) -> (name, org): each name with the number of its organisation."""
+    """names(name, n) -> (name, org, core): each name with the number of its organisation and its distinctive words joined."""
     spark = names.sparkSession
     parts = materialise(cores(names, what), f"{what}-cores")
     best = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n")))
@@ -193,12 +193,12 @@ def link(names: DataFrame, what: str = "p6") -> DataFrame:
     )
     links = same.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(shortened)
     orgs = materialise(components(links, f"{what}-links"), f"{what}-orgs")
-    return parts.join(forms.select("core", "form"), "core").join(orgs, F.col("form") == F.col("node"), "left").select("name", F.coalesce("component", "form").alias("org"))
+    return parts.join(forms.select("core", "form"), "core").join(orgs, F.col("form") == F.col("node"), "left").select("name", F.coalesce("component", "form").alias("org"), "core")
 
 
 def organisations(jobs: DataFrame) -> DataFrame:
     """(name, org) of every distinct value of `company` that names an organisation."""
-    return link(spellings(jobs).where("NOT title_like").select("name", "n"))
+    return link(spellings(jobs).where("NOT title_like").select("name", "n")).select("name", "org")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import batches, formatting, lookalikes, names, places
+from . import batches, formatting, lookalikes, matching, names, places
 
 QUERIES = {
+    "p1_found": matching.found,
+    "p1_confidences": matching.confidences,
     "p2_found": batches.found,
     "p3_found": places.found,
     "p4_found": formatting.found,
