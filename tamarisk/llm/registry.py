@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import batches, formatting, lookalikes, matching, names, places
+from . import batches, formatting, leaks, lookalikes, matching, mixing, names, places
 
 QUERIES = {
     "p1_found": matching.found,
@@ -14,6 +14,10 @@ QUERIES = {
     "p5_found": lookalikes.found,
     "p5_forms": lookalikes.all_forms,
     "p6_found": names.found,
+    "p7_found": leaks.found,
+    "p7_items": leaks.by_item,
+    "p8_mix": mixing.mixed,
+    "p8_shares": mixing.report,
 }
 
 ORACLE: dict[str, str] = {}
