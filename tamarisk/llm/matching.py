@@ -30,7 +30,7 @@ from .common import key_sql, materialise, sql, table
 STEP = 0.05  # the grid of similarities
 FEATURES = ["s_words", "s_letters", "s_name", "s_place", "s_ref"]
 GROUPS = [[0, 1], [2], [3], [4]]  # features that may depend on each other
-ROUNDS = 2  # of maximisation after transitivity
+ROUNDS = 1  # of maximisation after transitivity
 SMALL_ROWS = 500_000  # of (hash, flag): 8 MB at most when broadcast
 # Words for work that is not tied to a place.
 ANYWHERE = r"\b(?:remote(?:ly)?|anywhere|worldwide|work from home|home ?office|wfh|telecommute|عن بعد|من المنزل)\b"
@@ -55,17 +55,21 @@ def arranged(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def place_keys(spark: SparkSession, rows: DataFrame, ref: DataFrame) -> DataFrame:
     """(hl, place): the entry of the list; else work from anywhere; else the words that name no country."""
-    found = places.match_locations(spark, rows, ref)
-    words = f"filter(split(regexp_replace({key_sql('raw_value')}, '[^\\\\p{{L}}\\\\p{{N}}]+', ' '), ' '), x -> x <> '')"
-    countries = sql(spark, f"SELECT array_distinct(flatten(collect_set(array_union(split({key_sql('country')}, ' '), array({key_sql('country_code')}))))) AS c FROM {{ref}}", ref=ref)
+    split = materialise(places._values(spark, rows, "location"), "p1-values")
+    fits = places.locations_of(spark, split, ref)
+    # Words of the few countries of the reference list.
+    names_ = sql(spark, f"SELECT DISTINCT {key_sql('country')} AS country, {key_sql('country_code')} AS code FROM {{ref}}", ref=ref)
+    countries = names_.select(F.explode(F.concat(F.split("country", " "), F.array("code"))).alias("w")).agg(F.collect_set("w").alias("c"))
     return sql(
         spark,
         f"""SELECT xxhash64(raw_value) AS hl,
                    CASE WHEN ref_id > 0 THEN concat('#', ref_id)
-                        WHEN regexp_like({key_sql('raw_value')}, r"{ANYWHERE}") THEN concat('anywhere ', array_join(array_intersect({words}, c), ' '))
-                        ELSE nullif(array_join(array_sort(array_distinct(IF(size(array_except({words}, c)) > 0, array_except({words}, c), {words}))), ' '), '') END AS place
-            FROM {{found}} CROSS JOIN {{countries}}""",
-        found=found,
+                        WHEN regexp_like(form, r"{ANYWHERE}") THEN concat('anywhere ', array_join(array_intersect(words, c), ' '))
+                        ELSE nullif(array_join(array_sort(IF(size(own) > 0, own, array_distinct(words))), ' '), '') END AS place
+            FROM (SELECT s.raw_value, s.form, s.words, f.ref_id, c, array_except(s.words, c) AS own
+                  FROM {{split}} s LEFT JOIN {{fits}} f ON s.raw_value = f.raw_value CROSS JOIN {{countries}})""",
+        split=split,
+        fits=fits,
         countries=countries,
     )
 

@@ -90,7 +90,7 @@ def cores(names: DataFrame, what: str = "p6") -> DataFrame:
     text = F.when(F.regexp_like(text, F.lit(r"[\p{L}\p{N}].*\(.*\)\W*$")), F.regexp_replace(text, r"\([^()]*\)(\W*)$", "$1")).otherwise(text)
     split = names.select("name", "n", _words(text).alias("all"))
     split = materialise(split.where(F.size("all") > 0), f"{what}-split")
-    fixed = lambda xs: F.array(*map(F.lit, xs))
+    fixed = lambda xs: F.split(F.lit(" ".join(xs)), " ")
     # Words beside which many other names stand: generic ones that the fixed list lacks.
     total = split.agg(F.count(F.lit(1)).alias("n")).first().n
     beside = split.where(F.size("all") > 1).select(F.explode(F.array_distinct(F.slice("all", 2, 8))).alias("w"), F.substring(F.get("all", F.lit(0)), 1, 3).alias("first"))

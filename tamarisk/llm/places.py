@@ -29,12 +29,13 @@ GRAMS = """
 
 def _values(spark: SparkSession, jobs: DataFrame, field: str) -> DataFrame:
     """Distinct values with their words; a letter-case or look-alike difference is none for the words."""
-    words = rf"filter(split(regexp_replace({key_sql('raw_value')}, '[^\\p{{L}}\\p{{N}}]+', ' '), ' '), x -> x <> '')"
     return sql(
         spark,
-        f"""SELECT '{field}' AS field_name, raw_value, {words} AS words
-            FROM (SELECT DISTINCT `{field}` AS raw_value FROM {{jobs}} WHERE `{field}` IS NOT NULL)
-            WHERE trim({key_sql("raw_value")}) <> ''""",
+        rf"""SELECT '{field}' AS field_name, raw_value, form,
+                    filter(split(regexp_replace(form, '[^\\p{{L}}\\p{{N}}]+', ' '), ' '), x -> x <> '') AS words
+             FROM (SELECT raw_value, {key_sql('raw_value')} AS form
+                   FROM (SELECT DISTINCT `{field}` AS raw_value FROM {{jobs}} WHERE `{field}` IS NOT NULL))
+             WHERE form <> ''""",
         jobs=jobs,
     )
 
@@ -44,8 +45,13 @@ NAME = r"regexp_replace(%s, '[^\\p{L}\\p{N}]+', '')"
 
 def match_locations(spark: SparkSession, jobs: DataFrame, places: DataFrame) -> DataFrame:
     """(field_name, raw_value, ref_id) of `location`."""
-    squeeze = lambda c: NAME.replace("%s", key_sql(c))
     split = materialise(_values(spark, jobs, "location"), "p3-values")
+    return _with_unmatched(spark, split, locations_of(spark, split, places))
+
+
+def locations_of(spark: SparkSession, split: DataFrame, places: DataFrame) -> DataFrame:
+    """(raw_value, ref_id) of the values that have an entry (0: of several entries, none of which is named)."""
+    squeeze = lambda c: NAME.replace("%s", key_sql(c))
     grams = sql(spark, GRAMS.replace("{longest}", "4"), split=split)
     names = sql(
         spark,
@@ -109,7 +115,7 @@ def match_locations(spark: SparkSession, jobs: DataFrame, places: DataFrame) ->
         close=close,
         named=named,
     )
-    return _with_unmatched(spark, split, materialise(fits, "p3-fits"))
+    return materialise(fits, "p3-fits")
 
 
 def match_job_types(spark: SparkSession, jobs: DataFrame, types: DataFrame) -> DataFrame:

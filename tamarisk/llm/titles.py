@@ -82,7 +82,7 @@ def canonical(titles: DataFrame, what: str = "titles") -> DataFrame:
     fixes = materialise(fixes, f"{what}-fixes")
     # Only the titles that hold a word to be led on take part in the join; known words are an array of bounded size.
     common = [r.name for r in known.select("name").orderBy("name").collect()]
-    array = F.array(*map(F.lit, common)) if common else F.array().cast("array<string>")
+    array = F.split(F.lit(" ".join(common)), " ")
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), " ")
     odd = F.size(F.array_except("words", array)) > 0
     plain = titles.where(~odd).select("h", join("words").alias("tk"))
