@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import batches, formatting, leaks, lookalikes, matching, mixing, names, places
+from . import batches, formatting, leaks, lookalikes, matching, mixing, names, places, residue
 
 QUERIES = {
     "p1_found": matching.found,
@@ -18,6 +18,8 @@ QUERIES = {
     "p7_items": leaks.by_item,
     "p8_mix": mixing.mixed,
     "p8_shares": mixing.report,
+    "p9_found": residue.found,
+    "p9_reasons": residue.reasons,
 }
 
 ORACLE: dict[str, str] = {}
