@@ -175,24 +175,19 @@ def link(names: DataFrame, what: str = "p6") -> DataFrame:
         turned=turned,
         forms=forms,
     )
-    same = materialise(components(equal, f"{what}-equal"), f"{what}-same")
     # A shortened name: the start of the joined words of a whole one (the last word's first letters, alone or run in with
-    # the first word).  It goes to the organisation of most rows among those that it fits.
+    # the first word).  It goes to the name of most rows among those that it fits.
     cuts = F.sequence(F.lit(LEAST_SHORT), F.least(F.lit(MOST_SHORT), F.length("core") - 2))
     cut = forms.where(F.length("core") >= LEAST_CORE).select("core", F.explode(F.transform(cuts, lambda i: F.substring(F.col("core"), F.lit(1), i))).alias("short"))
     shortened = sql(
         spark,
-        f"""SELECT a.form AS a, max_by(b.form, struct(b.weight, b.form)) AS b
-            FROM {{cut}} c JOIN {{forms}} a ON a.core = c.short
-            JOIN (SELECT f.*, sum(f.n) OVER (PARTITION BY coalesce(s.component, f.form)) AS weight
-                  FROM {{forms}} f LEFT JOIN {{same}} s ON s.node = f.form) b ON b.core = c.core
+        f"""SELECT a.form AS a, max_by(b.form, struct(b.n, b.form)) AS b
+            FROM {{cut}} c JOIN {{forms}} a ON a.core = c.short JOIN {{forms}} b ON b.core = c.core
             WHERE (a.trade IS NOT NULL OR a.brief IS NOT NULL OR size(a.words) > 1) AND {agree} GROUP BY a.form""",
         cut=cut,
         forms=forms,
-        same=same,
     )
-    links = same.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(shortened)
-    orgs = materialise(components(links, f"{what}-links"), f"{what}-orgs")
+    orgs = materialise(components(equal.unionByName(shortened), f"{what}-links"), f"{what}-orgs")
     return parts.join(forms.select("core", "form"), "core").join(orgs, F.col("form") == F.col("node"), "left").select("name", F.coalesce("component", "form").alias("org"), "core")
 
 
