@@ -92,8 +92,12 @@ def key_sql(expr: str) -> str:
     """Spark SQL text: `visible_sql`, then lower case without accents; white space runs become one space."""
     pairs = {x: base for base, xs in ACCENTED.items() for x in xs if x != base}
     # Arabic letters with hamza or madda are left as they are; only combining marks go.
-    expr = _translate(f"lower(regexp_replace({visible_sql(expr)}, '[{MARKS}]', ''))", pairs)
-    return f"trim(regexp_replace({expr}, '\\\\s+', ' '))"
+    folded = _translate(f"lower(regexp_replace({visible_sql(expr)}, '[{MARKS}]', ''))", pairs)
+    # Most texts are plain ASCII, of which only letter case and spaces change.
+    return (
+        f"CASE WHEN regexp_like({expr}, '^[ -~]*$') THEN trim(regexp_replace(lower({expr}), ' +', ' ')) "
+        f"ELSE trim(regexp_replace({folded}, '\\\\s+', ' ')) END"
+    )
 
 
 def key(column: str) -> Column:

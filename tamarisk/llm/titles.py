@@ -46,10 +46,12 @@ def words(column: str) -> Column:
     text = F.regexp_replace(text, " +", " ")
     for pair in RUN_IN:
         text = F.replace(text, F.lit(f" {pair} "), F.lit(f" {pair.replace(' ', '')} "))
-    long = F.regexp_replace(text, rf"(?<= )(?:{'|'.join(SHORT)})(?= )", "<$0>")
+    pattern = rf"(?<= )(?:{'|'.join(SHORT)})(?= )"
+    long = F.regexp_replace(text, pattern, "<$0>")
     for short, whole in SHORT.items():
         long = F.replace(long, F.lit(f"<{short}>"), F.lit(whole))
-    return F.split(F.trim(F.regexp_replace(long, " +", " ")), " ")
+    long = F.when(text.rlike(pattern), long).otherwise(text)  # few titles hold an abbreviation
+    return F.split(F.trim(long), " ")
 
 
 def canonical(titles: DataFrame, what: str = "titles") -> DataFrame:
