@@ -119,6 +119,8 @@ def cores(names: DataFrame, what: str = "p6") -> DataFrame:
         lasts=lasts,
         vocabulary=vocabulary,
     )
+    # Each step is written: one plan of all of them would be planned anew as a whole after each of its many stages.
+    kinds = materialise(kinds, f"{what}-kinds")
     split = split.withColumn("last", last).join(kinds, F.col("last") == F.col("owner"), "left")
     several, front = F.size("words") > 1, F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0)))
     split = split.withColumns({
@@ -130,6 +132,7 @@ def cores(names: DataFrame, what: str = "p6") -> DataFrame:
     split = split.withColumns({"words": _without_acronym("words"), "full": _without_acronym("full")})
     split = split.where((F.size("words") > 0) & ~F.arrays_overlap("words", fixed(MISSING)))
     split = split.withColumns({"core": F.array_join("words", ""), "full_core": F.array_join("full", "")})
+    split = materialise(split.select("name", "n", "words", "full", "core", "full_core", "trade", "brief"), f"{what}-parts")
     # What looks like an abbreviation is a word of the name where the name is known with it.
     known = split.where("full IS NULL").select(F.col("core").alias("known")).distinct()
     split = split.join(known, F.col("full_core") == F.col("known"), "left")

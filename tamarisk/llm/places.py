@@ -85,6 +85,7 @@ def locations_of(spark: SparkSession, split: DataFrame, places: DataFrame) -> Da
         grams=grams,
         names=names,
     )
+    exact = materialise(exact, "p3-exact")  # read by three branches
     rest = sql(
         spark,
         """SELECT g.raw_value AS owner, g.gram FROM {grams} g
@@ -103,6 +104,7 @@ def locations_of(spark: SparkSession, split: DataFrame, places: DataFrame) -> Da
         near=near,
         names=names,
     )
+    close = materialise(close, "p3-close")
     fits = sql(
         spark,
         """SELECT raw_value, IF(min(location_id) = max(location_id), min(location_id), 0) AS ref_id
