@@ -59,9 +59,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write once as Parquet into the shared folder and read back: cuts the lineage and survives lost executors."""
+    """Write once as Parquet into the shared folder and read back: cuts the lineage and survives lost executors.
+
+    The folder of the application (tamarisk/<its id>) can go when the application has ended."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tamarisk/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tamarisk/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

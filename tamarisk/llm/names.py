@@ -89,13 +89,13 @@ def cores(names: DataFrame, what: str = "p6") -> DataFrame:
     text = key("name")
     text = F.when(F.regexp_like(text, F.lit(r"[\p{L}\p{N}].*\(.*\)\W*$")), F.regexp_replace(text, r"\([^()]*\)(\W*)$", "$1")).otherwise(text)
     split = names.select("name", "n", _words(text).alias("all"))
-    split = materialise(split.where(F.size("all") > 0), f"{what}-split")
+    split = materialise(split.where((F.size("all") > 0) & ~F.array_join("all", "").isin(MISSING)), f"{what}-split")
     fixed = lambda xs: F.split(F.lit(" ".join(xs)), " ")
     # Words beside which many other names stand: generic ones that the fixed list lacks.
     total = split.agg(F.count(F.lit(1)).alias("n")).first().n
     beside = split.where(F.size("all") > 1).select(F.explode(F.array_distinct(F.slice("all", 2, 8))).alias("w"), F.substring(F.get("all", F.lit(0)), 1, 3).alias("first"))
     common = beside.groupBy("w").agg(F.countDistinct("first").alias("n")).where((F.col("n") >= max(GENERIC_LEAST, GENERIC_SHARE * total)) & (F.length("w") > 1))
-    learned = [r.w for r in common.orderBy(F.desc("n"), "w").limit(500).collect()]  # a few per hundredth of the names: bounded
+    learned = [r.w for r in common.collect()]  # at most 8 / GENERIC_SHARE words, as 8 of a name are counted
     words = sorted({*GENERIC, *learned} - {*LEGAL, *BRANCH})
     generic = fixed(words)
     split = split.withColumn("trade", F.get(F.filter("all", lambda w: F.array_contains(generic, w)), F.lit(0)))

@@ -42,8 +42,7 @@ def words(column: str) -> Column:
     text = F.regexp_replace(text, r"(?<=[a-z])\.(?=[a-z])", " ")
     text = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}+#]+", " ")), F.lit(" "))
     text = F.regexp_replace(text, rf"(?<= )(?:{'|'.join(NOTICES)})(?= )", " ")
-    text = F.regexp_replace(text, r" in (?:[\p{L}]+ ?){1,3}\s*$", " ")
-    text = F.regexp_replace(text, " +", " ")
+    text = F.regexp_replace(F.regexp_replace(text, " +", " "), r" in (?:[\p{L}]+ ?){1,3}$", " ")
     for pair in RUN_IN:
         text = F.replace(text, F.lit(f" {pair} "), F.lit(f" {pair.replace(' ', '')} "))
     pattern = rf"(?<= )(?:{'|'.join(SHORT)})(?= )"

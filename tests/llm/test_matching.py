@@ -9,7 +9,7 @@ from tamarisk.llm import matching, mixture, names, places, titles
 from tests.llm.test_keys import PLACES
 
 ORGS = [
-    ["Tangan Selbelpi Health", "TANGAN SELBELPI HEALTH.", "Selbelpi, Tangan Health", "Tagnan Selbelpi Health", "Tangan Selbelpi", "Tangan Selbelpi Hlth", "Tangan Sel. Health", "TanganSelbelpi Health", "Tangan Selbelpi Health - Head Office", "THS - Tangan Selbelpi", "Tangansel Health", "Tаngan Selbelpi Health Ltd"],
+    ["Tangan Selbelpi Health", "TANGAN SELBELPI HEALTH.", "Selbelpi, Tangan Health", "Tagnan Selbelpi Health", "Tangan Selbelpi", "Tangan Selbelpi Hlth", "Tangan Sel. Health", "TanganSelbelpi Health", "Tangan Selbelpi Health - Head Office", "TSH - Tangan Selbelpi", "Tangansel Health", "Tаngan Selbelpi Health Ltd"],
     ["Mide & Nidorti Robotics", "Mide and Nidorti Robotics GmbH", "Míde & Nidorti Robotics (Egypt)", "Mide N. Robotics"],
     ["Vebankesujo Software S.A.E.", "VebankesujoSoftware", "Vebankesuj Software", "Vebanke SW"],
     ["Konukan Pama Media", "KPM - Konukan Pama"],
