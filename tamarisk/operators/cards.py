@@ -15,6 +15,7 @@ from tamarisk.functions import text as T
 from tamarisk.functions import urls as U
 from tamarisk.operators import filters
 
+# Patterns of the two sites' pages.
 LINK = r"""(?is)<a\b[^>]*href=["']([^"']*/jobs/p/[^"']+)["'][^>]*>(.*?)</a>"""
 CAREER = r"""(?is)<a\b[^>]*href=["'][^"']*/jobs/careers/[^"']+["'][^>]*>(.*?)</a>"""
 SPAN = r"(?is)<span\b[^>]*>(.*?)</span>"
