@@ -11,7 +11,8 @@ posting are no pairs, and a large employer splits into its references, titles an
 A similarity vector holds: common words of the titles, their letters, the names' letters, the place, the reference.  The
 vectors lie on a grid, so their histogram is of bounded size; the mixture is fitted to it, and only posteriors by vector
 go back to the pairs.  For two links with a common class, the product of their posteriors bounds that of the third pair
-from below; where it is exceeded the weaker link gives way, and the next maximisation takes the reduced posteriors.
+from below; where it is exceeded the weaker link gives way.  That is done once after each expectation, and the next
+maximisation takes the reduced posteriors; the last ones are reduced until no triangle is broken.
 
 Defined results: rows without an organisation, or with no word in the title, match nothing; title and company exchanged
 are put back; equal classes are matched by the posterior of their own vector; a place missing on both sides agrees less
@@ -30,7 +31,7 @@ from .common import key_sql, materialise, release, sql, table
 STEP = 0.05  # the grid of similarities
 FEATURES = ["s_words", "s_letters", "s_name", "s_place", "s_ref"]
 GROUPS = [[0, 1], [2], [3], [4]]  # features that may depend on each other
-ROUNDS = 1  # of maximisation after transitivity
+SLACK = 1e-6  # by which a product of posteriors can exceed the third
 SMALL_ROWS = 500_000  # of (hash, flag): 8 MB at most when broadcast
 # Words for work that is not tied to a place.
 ANYWHERE = r"\b(?:remote(?:ly)?|anywhere|worldwide|work from home|home ?office|wfh|telecommute|عن بعد|من المنزل)\b"
@@ -130,42 +131,83 @@ def candidates(made: DataFrame) -> DataFrame:
     )
 
 
-def _histogram(pairs: DataFrame, value: Column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The vectors on the grid (a bounded number), how many pairs have each, and the mean of a value."""
-    rows = pairs.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("v")).orderBy(*FEATURES).collect()
-    x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(len(rows), len(FEATURES))
-    return x, np.array([r.n for r in rows], float), np.array([r.v for r in rows], float)
-
-
-def posteriors(spark: SparkSession, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pairs with the confidence p of a match."""
-    x, n, _ = _histogram(pairs, F.lit(0.0))
+def _histogram(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors on the grid (a bounded number), and how many pairs have each."""
+    rows = pairs.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n")).orderBy(*FEATURES).collect()
+    return np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r.n for r in rows], float)
+
+
+def _by_vector(gamma: np.ndarray, v: Column) -> Column:
+    """The posterior of vector number v; 0 where that is null, for a pair that was no candidate."""
+    return F.coalesce(F.get(F.split(F.lit(" ".join(map(repr, gamma.tolist()))), " ").cast("array<double>"), v), F.lit(0.0))
+
+
+class Bound:
+    """Mean posteriors by vector after `transitive`, for the posteriors of an expectation.
+
+    What a link is lowered to depends on its vector and on those of the other link and the third pair of its wedges.  So
+    the wedges are made once and reduced to how many links have which vector and set of such pairs of vectors; each call
+    is one pass over that table.  They are made of the vectors that exceeded one half so far, and anew for more of them."""
+
+    def __init__(self, numbered: DataFrame, n: np.ndarray, linked: np.ndarray):
+        self.numbered, self.n, self.linked, self.kinds = numbered, n, linked, None
+
+    def _kinds(self) -> DataFrame:
+        links = self.numbered.where("a <> b").where(F.col("v").isin(np.flatnonzero(self.linked).tolist()))
+        wedges = _wedges(links, self.numbered, "v")
+        ends = F.array(F.struct("m", F.col("x").alias("o"), F.col("vx").alias("v"), F.col("vy").alias("w"), F.col("vxy").alias("t")), F.struct("m", F.col("y").alias("o"), F.col("vy").alias("v"), F.col("vx").alias("w"), F.col("vxy").alias("t")))
+        ends = wedges.select(F.explode(ends).alias("e")).select(F.least("e.m", "e.o").alias("a"), F.greatest("e.m", "e.o").alias("b"), "e.v", F.struct("e.w", "e.t").alias("k"))
+        sets = ends.groupBy("a", "b", "v").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+        return materialise(sets.groupBy("v", "ks").agg(F.count(F.lit(1)).alias("n")), "p1-wedges")
+
+    def __call__(self, gamma: np.ndarray) -> np.ndarray:
+        if self.kinds is None or ((gamma > 0.5) & ~self.linked).any():
+            self.linked = self.linked | (gamma > 0.5)
+            self.kinds = self._kinds()
+            self.any = not self.kinds.isEmpty()
+        if not self.any:
+            return gamma
+        p = lambda v: _by_vector(gamma, v)
+        # Null, which array_min leaves out, where the wedge is kept or the other link gives way.
+        broken = lambda k: (p(k.w) > 0.5) & (p(F.col("v")) <= p(k.w)) & (p(F.col("v")) * p(k.w) > p(k.t) + SLACK)
+        most = F.array_min(F.transform("ks", lambda k: F.when(broken(k), p(k.t) / p(k.w))))
+        lost = F.when(p(F.col("v")) > 0.5, p(F.col("v")) - F.least(p(F.col("v")), most)).otherwise(0.0)
+        held = self.n * gamma
+        for r in self.kinds.groupBy("v").agg(F.sum(F.col("n") * lost).alias("lost")).collect():
+            held[r.v] -= r.lost
+        return np.clip(held / self.n, 0, 1)
+
+
+def posteriors(spark: SparkSession, pairs: DataFrame) -> DataFrame:
+    """(a, b, p): pairs with the confidence p of a match."""
+    x, n = _histogram(pairs)
     if not len(x):
         return pairs.select("a", "b", F.lit(0.0).alias("p"))
+    vectors = spark.createDataFrame([(*map(float, v), i) for i, v in enumerate(x)], ", ".join(f"{f} float" for f in FEATURES) + ", v int")
+    numbered = materialise(pairs.join(F.broadcast(vectors), FEATURES).select("a", "b", "v"), "p1-numbered")
     # Expectation-maximisation starts from the vectors that agree nearly wholly in every feature.
-    gamma = mixture.fit(x, n, (x.min(axis=1) >= 0.8).astype(float), GROUPS)
-    for round_ in range(rounds + 1):
-        schema = ", ".join(f"{f} float" for f in FEATURES) + ", p double"
-        table_ = spark.createDataFrame([(*map(float, v), float(g)) for v, g in zip(x, gamma)], schema)
-        scored = materialise(pairs.join(F.broadcast(table_), FEATURES), "p1-scored")
-        held = materialise(transitive(scored), "p1-held")
-        if round_ == rounds:
-            return held
-        _, _, mean = _histogram(held, F.col("p"))
-        gamma = mixture.fit(x, n, mean, GROUPS)
+    start = (x.min(axis=1) >= 0.8).astype(float)
+    # A run without the bound only tells which vectors' wedges are likely to be asked for.
+    linked = (start > 0.5) | (mixture.fit(x, n, start, GROUPS) > 0.5)
+    gamma = mixture.fit(x, n, start, GROUPS, bound=Bound(numbered, n, linked))
+    return consistent(materialise(numbered.select("a", "b", _by_vector(gamma, F.col("v")).alias("p")), "p1-scored"))
 
 
-def transitive(scored: DataFrame) -> DataFrame:
-    """Posteriors that keep p(a, b) p(b, c) <= p(a, c), by lowering the weaker of two links (both, if they are equal).
+def _wedges(links: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
+    """(m, x, y and the values of m-x, m-y, x-y): two links with a common class, x < y; null where x-y is no pair."""
+    one = links.select(F.col("a").alias("m"), F.col("b").alias("x"), F.col(value).alias(f"{value}x"))
+    both = one.unionByName(links.select(F.col("b").alias("m"), F.col("a").alias("x"), F.col(value).alias(f"{value}x")))
+    other = both.select("m", F.col("x").alias("y"), F.col(f"{value}x").alias(f"{value}y"))
+    third = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col(value).alias(f"{value}xy"))
+    return both.join(other, "m").where("x < y").join(third, ["x", "y"], "left")
 
-    Only links above one half can break it noticeably; a pair that was no candidate has posterior 0, but classes that
-    read alike in all but more than one feature are left to the threshold."""
-    links = scored.where("p > 0.5 AND a <> b").select("a", "b", "p")
-    both = links.select(F.col("a").alias("m"), F.col("b").alias("x"), F.col("p").alias("px")).unionByName(links.select(F.col("b").alias("m"), F.col("a").alias("x"), F.col("p").alias("px")))
-    other = both.select("m", F.col("x").alias("y"), F.col("px").alias("py"))
-    wedges = both.join(other, "m").where("x < y")
-    third = scored.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("p").alias("pxy"))
-    broken = wedges.join(third, ["x", "y"], "left").withColumn("pxy", F.coalesce("pxy", F.lit(0.0))).where("px * py > pxy + 1e-6")
+
+def _broken(scored: DataFrame) -> DataFrame:
+    wedges = _wedges(scored.where("p > 0.5 AND a <> b"), scored, "p")
+    return wedges.withColumn("pxy", F.coalesce("pxy", F.lit(0.0))).where(f"px * py > pxy + {SLACK}")
+
+
+def _lowered(scored: DataFrame, broken: DataFrame) -> DataFrame:
     lowered = broken.select(F.explode(F.array(
         F.struct(F.least("m", "x").alias("a"), F.greatest("m", "x").alias("b"), F.when(F.col("px") <= F.col("py"), F.col("pxy") / F.col("py")).otherwise(1.0).alias("most")),
         F.struct(F.least("m", "y").alias("a"), F.greatest("m", "y").alias("b"), F.when(F.col("py") <= F.col("px"), F.col("pxy") / F.col("px")).otherwise(1.0).alias("most")),
@@ -173,6 +215,22 @@ def transitive(scored: DataFrame) -> DataFrame:
     return scored.join(lowered, ["a", "b"], "left").withColumn("p", F.least("p", F.coalesce("most", F.lit(1.0)))).drop("most")
 
 
+def transitive(scored: DataFrame) -> DataFrame:
+    """Posteriors that keep p(a, b) p(b, c) <= p(a, c), by lowering the weaker of two links (both, if they are equal).
+
+    Only links above one half can break it noticeably; a pair that was no candidate has posterior 0, but classes that
+    read alike in all but more than one feature are left to the threshold.  A lowered link can break another triangle."""
+    return _lowered(scored, _broken(scored))
+
+
+def consistent(scored: DataFrame) -> DataFrame:
+    """`transitive`, until no triangle is broken.  A link is never lowered below the third pair that asks for it, so the
+    least ones are final first and it ends."""
+    while not (broken := materialise(_broken(scored), "p1-broken")).isEmpty():
+        scored = materialise(_lowered(scored, broken), "p1-held")
+    return scored
+
+
 def matched(spark: SparkSession, jobs: DataFrame, ref: DataFrame, least: float = 0.5) -> DataFrame:
     """(id_a, id_b, confidence): rows of different sources that advertise the same opening."""
     rows, made = classes(spark, jobs.select("id", "source", "title", "company", "location"), ref)

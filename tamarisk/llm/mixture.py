@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -23,14 +25,16 @@ def regularised(x: np.ndarray, weight: np.ndarray, groups: list[list[int]], kapp
     return mean, cov * mask + np.diag(kappa)
 
 
-def fit(x: np.ndarray, n: np.ndarray, start: np.ndarray, groups: list[list[int]], rounds: int = 200, kappa: float = 0.05) -> np.ndarray:
+def fit(x: np.ndarray, n: np.ndarray, start: np.ndarray, groups: list[list[int]], rounds: int = 200, kappa: float = 0.05, bound: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Posteriors of the matched component for the vectors x, each seen n times, from the posteriors `start`.
 
     kappa regularises as a share of the squared distance between the two means, feature by feature, so that a feature on
-    which all matched pairs agree keeps a width."""
+    which all matched pairs agree keeps a width.  `bound` leads the posteriors of each expectation to the mean posteriors,
+    vector by vector, that the next maximisation takes."""
     gamma = start.astype(float)
     for _ in range(rounds):
-        matched, unmatched = n * gamma, n * (1 - gamma)
+        held = bound(gamma) if bound else gamma
+        matched, unmatched = n * held, n * (1 - held)
         if min(matched.sum(), unmatched.sum()) < 1e-6:
             return gamma
         gap = (matched @ x / matched.sum() - unmatched @ x / unmatched.sum()) ** 2

@@ -89,6 +89,32 @@ def test_transitivity(spark):
     assert made[(1, 2)] == 0.9 and made[(2, 3)] < 0.2 and made[(4, 5)] == 0.9 and made[(8, 9)] == 0.0 and made[(7, 8)] == 0.99 and made[(5, 5)] == 1.0
 
 
+def test_transitivity_inside_the_fit(spark):
+    """Wedges without a third pair lower what the mixture learns of their vector, also for pairs in no wedge."""
+    rows, like, near, far = [], (1.0, 1.0, 1.0, 1.0, 1.0), (0.75, 0.8, 1.0, 0.85, 0.9), (0.4, 0.3, 0.8, 0.4, 0.5)
+    for i in range(40):
+        rows += [(10 * i, 10 * i + 1, *like), (10 * i + 1, 10 * i + 2, *near), (10 * i + 4, 10 * i + 5, *far), (10 * i + 6, 10 * i + 7, *far)]
+    rows += [(9000, 9001, *near), (9002, 9003, *like)]
+    df = spark.createDataFrame(rows, "a long, b long, " + ", ".join(f"{f} float" for f in matching.FEATURES))
+    made = {(r.a, r.b): r.p for r in matching.posteriors(spark, df).collect()}
+    x, n = np.array([like, near, far]), np.array([41.0, 41.0, 80.0])
+    free = mixture.fit(x, n, np.array([1.0, 0.0, 0.0]), matching.GROUPS)
+    assert len(made) == len(rows) and free[1] > 0.5 and made[(9000, 9001)] < free[1] - 0.01 and made[(9002, 9003)] > 0.9
+    # The same by hand: what exceeds one half gives way wherever it stands in a wedge, to a third pair of posterior 0.
+    hand = mixture.fit(x, n, np.array([1.0, 0.0, 0.0]), matching.GROUPS, bound=lambda g: g * np.where((np.arange(3) == 1) & (g > 0.5) & (g <= g[0]), 1 / 41, 1))
+    assert abs(made[(9000, 9001)] - hand[1]) < 1e-3
+
+
+def test_no_triangle_stays_broken(spark):
+    rows = [(1, 2, 0.9), (2, 3, 0.8), (1, 3, 0.1), (1, 4, 0.75), (2, 4, 0.8), (3, 4, 0.9)]
+    made = matching.consistent(spark.createDataFrame(rows, "a long, b long, p double")).collect()
+    p = {frozenset((r.a, r.b)): r.p for r in made}
+    for m in range(1, 5):
+        for x, y in itertools.combinations({1, 2, 3, 4} - {m}, 2):
+            px, py = p[frozenset((m, x))], p[frozenset((m, y))]
+            assert min(px, py) <= 0.5 or px * py <= p[frozenset((x, y))] + 1e-5
+
+
 def test_no_openings(spark):
     ref = spark.createDataFrame(PLACES, "location_id int, city string, country string, country_code string, city_code string, local_name string")
     assert matching.matched(spark, table(spark, []).limit(0), ref).count() == 0
