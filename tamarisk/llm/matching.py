@@ -11,7 +11,7 @@ posting are no pairs, and a large employer splits into its references, titles an
 A similarity vector holds: common words of the titles, their letters, the names' letters, the place, the reference.  The
 vectors lie on a grid, so their histogram is of bounded size; the mixture is fitted to it, and only posteriors by vector
 go back to the pairs.  For two links with a common class, the product of their posteriors bounds that of the third pair
-from below; where it is exceeded the weaker link gives way.  That is done once after each expectation, and the next
+from below (a third pair that was no candidate is scored, too); where it is exceeded the weaker link gives way.  That is done once after each expectation, and the next
 maximisation takes the reduced posteriors; the last ones are reduced until no triangle is broken.
 
 Defined results: rows without an organisation, or with no word in the title, match nothing; title and company exchanged
@@ -110,7 +110,11 @@ def candidates(made: DataFrame) -> DataFrame:
     left = keyed.select("org", "k", F.col("cls").alias("a"), F.col("ref").alias("ra"))
     right = keyed.select("org", "k", F.col("cls").alias("b"), F.col("ref").alias("rb"))
     pairs = left.join(right, ["org", "k"]).where("a < b AND (ra IS NULL OR rb IS NULL OR ra = rb)").select("a", "b").distinct()
-    pairs = pairs.unionByName(made.where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+    return similarities(made, pairs.unionByName(made.where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))))
+
+
+def similarities(made: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarities) of pairs(a, b) of classes."""
     for side in "ab":
         pairs = pairs.join(made.select(F.col("cls").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("core", "tk", "ref", "place"))), side)
     wa, wb = F.split("tk_a", " "), F.split("tk_b", " ")
@@ -153,8 +157,7 @@ class Bound:
         self.numbered, self.n, self.linked, self.kinds = numbered, n, linked, None
 
     def _kinds(self) -> DataFrame:
-        links = self.numbered.where("a <> b").where(F.col("v").isin(np.flatnonzero(self.linked).tolist()))
-        wedges = _wedges(links, self.numbered, "v")
+        wedges = _wedges(_links(self.numbered, self.linked), self.numbered, "v")
         ends = F.array(F.struct("m", F.col("x").alias("o"), F.col("vx").alias("v"), F.col("vy").alias("w"), F.col("vxy").alias("t")), F.struct("m", F.col("y").alias("o"), F.col("vy").alias("v"), F.col("vx").alias("w"), F.col("vxy").alias("t")))
         ends = wedges.select(F.explode(ends).alias("e")).select(F.least("e.m", "e.o").alias("a"), F.greatest("e.m", "e.o").alias("b"), "e.v", F.struct("e.w", "e.t").alias("k"))
         sets = ends.groupBy("a", "b", "v").agg(F.array_sort(F.collect_set("k")).alias("ks"))
@@ -178,19 +181,40 @@ class Bound:
         return np.clip(held / self.n, 0, 1)
 
 
-def posteriors(spark: SparkSession, pairs: DataFrame) -> DataFrame:
-    """(a, b, p): pairs with the confidence p of a match."""
-    x, n = _histogram(pairs)
-    if not len(x):
-        return pairs.select("a", "b", F.lit(0.0).alias("p"))
-    vectors = spark.createDataFrame([(*map(float, v), i) for i, v in enumerate(x)], ", ".join(f"{f} float" for f in FEATURES) + ", v int")
-    numbered = materialise(pairs.join(F.broadcast(vectors), FEATURES).select("a", "b", "v"), "p1-numbered")
-    # Expectation-maximisation starts from the vectors that agree nearly wholly in every feature.
-    start = (x.min(axis=1) >= 0.8).astype(float)
-    # A run without the bound only tells which vectors' wedges are likely to be asked for.
-    linked = (start > 0.5) | (mixture.fit(x, n, start, GROUPS) > 0.5)
-    gamma = mixture.fit(x, n, start, GROUPS, bound=Bound(numbered, n, linked))
-    return consistent(materialise(numbered.select("a", "b", _by_vector(gamma, F.col("v")).alias("p")), "p1-scored"))
+def lacking(made: DataFrame, links: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(a, b): third pairs of the links' wedges that were no candidates, except where the references conflict."""
+    third = _wedges(links, numbered, "v").where("vxy IS NULL").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    for side in "ab":
+        third = third.join(made.select(F.col("cls").alias(side), F.col("ref").alias(f"r{side}")), side)
+    return materialise(third.where("ra IS NULL OR rb IS NULL OR ra = rb").select("a", "b"), "p1-lacking")
+
+
+def posteriors(spark: SparkSession, pairs: DataFrame, made: DataFrame | None = None) -> DataFrame:
+    """(a, b, p): pairs with the confidence p of a match, and the third pairs of their wedges, if the classes are given."""
+    while True:
+        x, n = _histogram(pairs)
+        if not len(x):
+            return pairs.select("a", "b", F.lit(0.0).alias("p"))
+        vectors = spark.createDataFrame([(*map(float, v), i) for i, v in enumerate(x)], ", ".join(f"{f} float" for f in FEATURES) + ", v int")
+        numbered = materialise(pairs.join(F.broadcast(vectors), FEATURES).select("a", "b", "v"), "p1-numbered")
+        # Expectation-maximisation starts from the vectors that agree nearly wholly in every feature.
+        start = (x.min(axis=1) >= 0.8).astype(float)
+        # A run without the bound gives it posteriors to begin with: the start is none, and its zeros would lower links to
+        # nothing.  It also tells which vectors' wedges are likely to be asked for.
+        free = mixture.fit(x, n, start, GROUPS)
+        linked = free > 0.5
+        more = made and lacking(made, _links(numbered, linked), numbered)
+        if not more or more.isEmpty():
+            bound = Bound(numbered, n, linked)
+            gamma = mixture.fit(x, n, free, GROUPS, bound=bound)
+            more = made and (bound.linked & ~linked).any() and lacking(made, _links(numbered, bound.linked), numbered)
+            if not more or more.isEmpty():
+                return consistent(materialise(numbered.select("a", "b", _by_vector(gamma, F.col("v")).alias("p")), "p1-scored"))
+        pairs = materialise(pairs.unionByName(similarities(made, more)), "p1-pairs")
+
+
+def _links(numbered: DataFrame, linked: np.ndarray) -> DataFrame:
+    return numbered.where("a <> b").where(F.col("v").isin(np.flatnonzero(linked).tolist()))
 
 
 def _wedges(links: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
@@ -218,8 +242,8 @@ def _lowered(scored: DataFrame, broken: DataFrame) -> DataFrame:
 def transitive(scored: DataFrame) -> DataFrame:
     """Posteriors that keep p(a, b) p(b, c) <= p(a, c), by lowering the weaker of two links (both, if they are equal).
 
-    Only links above one half can break it noticeably; a pair that was no candidate has posterior 0, but classes that
-    read alike in all but more than one feature are left to the threshold.  A lowered link can break another triangle."""
+    Only links above one half can break it noticeably; a pair that is missing has posterior 0: after `lacking`, only
+    where the references conflict.  A lowered link can break another triangle."""
     return _lowered(scored, _broken(scored))
 
 
@@ -236,7 +260,7 @@ def matched(spark: SparkSession, jobs: DataFrame, ref: DataFrame, least: float =
     rows, made = classes(spark, jobs.select("id", "source", "title", "company", "location"), ref)
     pairs = materialise(candidates(made), "p1-pairs")
     release(spark)
-    links = posteriors(spark, pairs).where(F.col("p") >= least).select("a", "b", "p")
+    links = posteriors(spark, pairs, made).where(F.col("p") >= least).select("a", "b", "p")
     left = rows.select(F.col("cls").alias("a"), F.col("id").alias("x"), F.col("src").alias("sx"))
     right = rows.select(F.col("cls").alias("b"), F.col("id").alias("y"), F.col("src").alias("sy"))
     out = links.join(left, "a").join(right, "b").where("sx <> sy AND (a <> b OR x < y)")

@@ -101,7 +101,7 @@ def test_transitivity_inside_the_fit(spark):
     free = mixture.fit(x, n, np.array([1.0, 0.0, 0.0]), matching.GROUPS)
     assert len(made) == len(rows) and free[1] > 0.5 and made[(9000, 9001)] < free[1] - 0.01 and made[(9002, 9003)] > 0.9
     # The same by hand: what exceeds one half gives way wherever it stands in a wedge, to a third pair of posterior 0.
-    hand = mixture.fit(x, n, np.array([1.0, 0.0, 0.0]), matching.GROUPS, bound=lambda g: g * np.where((np.arange(3) == 1) & (g > 0.5) & (g <= g[0]), 1 / 41, 1))
+    hand = mixture.fit(x, n, free, matching.GROUPS, bound=lambda g: g * np.where((np.arange(3) == 1) & (g > 0.5) & (g <= g[0]), 1 / 41, 1))
     assert abs(made[(9000, 9001)] - hand[1]) < 1e-3
 
 
@@ -115,6 +115,27 @@ def test_no_triangle_stays_broken(spark):
             assert min(px, py) <= 0.5 or px * py <= p[frozenset((x, y))] + 1e-5
 
 
+def test_third_pairs_are_scored(spark):
+    """Two titles differ from a third in one word each: they are no candidates of each other, and yet no 0."""
+    rows, title = [], "architect cloud data lead network platform security senior storage systems"
+    for i in range(40):
+        place = f"#{i}"
+        rows += [(10 * i + k, i, f"core{i}", t, None, place, 1) for k, t in enumerate([title, title.replace("cloud", "cluod"), title.replace("storage", "strage")])]
+        rows += [(10 * i + 3 + k, 1000 + i, f"other{i}", t, "55555", f"{place} {k}", 1) for k, t in enumerate(["baker", "junior welder", "night tailor trainee"])]
+    made = spark.createDataFrame(rows, "cls long, org long, core string, tk string, ref string, place string, n long")
+    pairs = matching.candidates(made)
+    assert (1, 2) not in {(r.a, r.b) for r in pairs.collect()}
+    got = {(r.a, r.b): r.p for r in matching.posteriors(spark, pairs, made).collect()}
+    assert got[(0, 1)] > 0.5 and got[(0, 2)] > 0.5 and got[(1, 2)] > 0.0 and got[(3, 4)] < 0.5
+    assert got[(0, 1)] * got[(0, 2)] <= got[(1, 2)] + 1e-5
+
+
+def test_third_pairs_of_two_references_are_not_scored(spark):
+    made = spark.createDataFrame([(1, None), (2, "1111"), (3, "2222"), (4, "1111")], "cls long, ref string")
+    links = spark.createDataFrame([(1, 2, 0), (1, 3, 0), (1, 4, 0)], "a long, b long, v int")
+    assert {(r.a, r.b) for r in matching.lacking(made, links, links).collect()} == {(2, 4)}
+
+
 def test_no_openings(spark):
     ref = spark.createDataFrame(PLACES, "location_id int, city string, country string, country_code string, city_code string, local_name string")
     assert matching.matched(spark, table(spark, []).limit(0), ref).count() == 0
