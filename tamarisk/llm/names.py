@@ -148,7 +148,7 @@ def _without_acronym(words: str) -> Column:
 
     def without(first: bool) -> Column:
         word = F.get(words, F.lit(0)) if first else F.element_at(words, -1)
-        rest = F.slice(words, 2, 8) if first else F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+        rest = F.slice(words, F.lit(2), F.size(words)) if first else F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
         initials = F.array_join(F.transform(rest, lambda x: F.substring(x, 1, 1)), "")
         return F.when(F.length(word).between(2, 4) & F.startswith(word, initials) & (F.length(word) - F.length(initials) <= 2), rest)
 
@@ -163,7 +163,7 @@ def link(names: DataFrame, what: str = "p6") -> DataFrame:
     forms = parts.groupBy("core").agg(F.sum("n").alias("n"), F.max_by("words", F.struct(F.size("words"), "n", "name")).alias("words"), best("trade").alias("trade"), best("brief").alias("brief"))
     forms = materialise(forms.withColumn("form", F.xxhash64("core")), f"{what}-forms")
     # The joined words from each word on, the first ones at the end.
-    turn = lambda i: F.array_join(F.concat(F.slice("words", i, 8), F.slice("words", 1, i - 1)), "")
+    turn = lambda i: F.array_join(F.concat(F.slice("words", i, F.size("words")), F.slice("words", 1, i - 1)), "")
     turned = forms.select(F.col("core").alias("owner"), F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), turn)).alias("gram")).distinct()
     near = pigeonhole(spark, turned, forms.select(F.col("core").alias("name")), least=LEAST_CORE)
     agree = f"""(a.trade = b.trade OR a.trade IS NULL AND (a.brief IS NULL OR b.trade IS NULL OR {_like("b.trade", "a.brief")})

@@ -38,6 +38,15 @@ def test_spellings(spark):
     assert names.organisations(table(spark, []).limit(0)).count() == 0
 
 
+def test_names_of_many_words(spark):
+    """Words after the eighth count: a misspelt one is found, and the first eight alone are another organisation."""
+    eight = "Babosu Cedira Dofulo Feginu Gohuma Hijuto Jikosa Kolupe"
+    orgs = [[f"{eight} Lomeri Munatiro", f"{eight} Lomeri Munatrio"], [eight]]
+    rows = [(k, "a", title, name, None) for org in orgs for name in org for k, title in enumerate(TITLES)]
+    by = {r.name: r.org for r in names.organisations(table(spark, rows)).collect()}
+    assert by[orgs[0][0]] == by[orgs[0][1]] != by[eight]
+
+
 def test_titles(spark):
     known = ["Senior Java Backend Engineer - Billing"] * 4 + ["Junior Data Analyst (Ref 0001234)"] * 4
     odd = ["Billing: Sr. Java Back-End Engr", "Backend Engineer (Java), Senior / Billing team - apply now #0009999", "SeniorJava Bakcend Engineer - Billing in New Place", "", None, "(m/f/d) !!"]
