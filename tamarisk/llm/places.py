@@ -7,7 +7,8 @@ hold it, and built-in levenshtein verifies.  What has no entry comes from an ant
 The values typed are reduced to the distinct ones first, so a value that a third of all rows holds costs one row.
 
 Defined results: null and blank values (white space or invisible characters only) give no row; every other value gives
-exactly one, the entry's id or 0.  A longer name beats a shorter one, an exact one a misspelt one, then the smaller id.
+exactly one, the entry's id or 0.  A name that covers more of the value beats one that covers less, then an exact one a
+misspelt one, then a longer one a shorter one.
 A value that names a country fits only entries of that country; a name of two entries without a country gives 0.
 """
 
@@ -80,26 +81,24 @@ def locations_of(spark: SparkSession, split: DataFrame, places: DataFrame) -> Da
     )
     exact = sql(
         spark,
-        """SELECT g.raw_value, n.location_id, n.country, length(g.gram) AS len
+        """SELECT g.raw_value, n.location_id, n.country, length(g.gram) AS covered, true AS exact, length(n.name) AS len
            FROM {grams} g JOIN {names} n ON g.gram = n.name""",
         grams=grams,
         names=names,
     )
-    exact = materialise(exact, "p3-exact")  # read by three branches
+    exact = materialise(exact, "p3-exact")
     rest = sql(
         spark,
         """SELECT g.raw_value AS owner, g.gram FROM {grams} g
-           LEFT ANTI JOIN {exact} e ON g.raw_value = e.raw_value
            LEFT ANTI JOIN {countries} c ON g.gram = c.name
            WHERE g.n <= 3""",
         grams=grams,
-        exact=exact,
         countries=countries,
     )
     near = pigeonhole(spark, rest, sql(spark, "SELECT name FROM {names} WHERE kind <> 'code'", names=names))
     close = sql(
         spark,
-        """SELECT v.owner AS raw_value, n.location_id, n.country, length(v.name) AS len
+        """SELECT v.owner AS raw_value, n.location_id, n.country, length(v.gram) AS covered, false AS exact, length(v.name) AS len
            FROM {near} v JOIN {names} n ON v.name = n.name AND n.kind <> 'code'""",
         near=near,
         names=names,
@@ -108,7 +107,7 @@ def locations_of(spark: SparkSession, split: DataFrame, places: DataFrame) -> Da
     fits = sql(
         spark,
         """SELECT raw_value, IF(min(location_id) = max(location_id), min(location_id), 0) AS ref_id
-           FROM (SELECT f.*, rank() OVER (PARTITION BY f.raw_value ORDER BY f.len DESC) AS r
+           FROM (SELECT f.*, rank() OVER (PARTITION BY f.raw_value ORDER BY f.covered DESC, f.exact DESC, f.len DESC) AS r
                  FROM (SELECT * FROM {exact} UNION ALL SELECT * FROM {close}) f
                  LEFT JOIN {named} c ON f.raw_value = c.raw_value
                  WHERE c.countries IS NULL OR array_contains(c.countries, f.country))

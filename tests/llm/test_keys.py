@@ -101,6 +101,13 @@ def test_places(spark):
     assert {r[2] for r in places.match_locations(spark, df, ref.limit(0)).collect()} == {0}
 
 
+def test_misspelt_places_beside_exact_ones(spark):
+    ref = spark.createDataFrame([*PLACES, (6, "Dunujona", "Jordan", "JO", "DNA", None)], "location_id int, city string, country string, country_code string, city_code string, local_name string")
+    want = {"Nwe Dunujon": 4, "Frakel (KHB)": 5, "Kuhoji, Frakel, Kenya": 5, "Dunujon": 3, "Dunujona": 6, "Dunujon, Jordan": 3}
+    df = jobs(spark, *({"location": v} for v in want))
+    assert {r.raw_value: r.ref_id for r in places.match_locations(spark, df, ref).collect()} == want
+
+
 def test_job_types(spark):
     ref = spark.createDataFrame([(1, "Full Time", ""), (2, "Contract", ""), (3, "Internship", ""), (4, "Shift Based", "")], "job_type_id int, label string, meaning string")
     want = {"FULL-TIME": 1, "F/T": 1, "Ful Time": 1, "fulltime job": 1, "12-month contract": 2, "Contractor": 2, "Cont.": 2, "Cotnract, hybrid": 2, "Intern": 3, "intenrship": 3, "rotating shifts": 4, "Other": 0, "2 vacancies": 0, "n/a": 0}
