@@ -111,23 +111,63 @@ SLOTS = ["Welcome to {{company_name}}!", "Dear <%= your name %>, thank you for t
 MESSAGES = ["Error 404. The page was not found.", "Access denied. You do not have permission to view this address.", "Please enable JavaScript to view this page.", "Something went wrong. Try again later."]
 
 
-def test_residue(spark):
-    rng = random.Random(6)
+def residue_texts(rng):
+    """Texts with the reason of each case: content of four to twelve lines, slots, filler, messages, mentions."""
     line = lambda: rng.choice(CONTENT).format(n=rng.randint(2, 60))
     texts, want = [], {}
-    for i in range(240):
-        texts.append("\n".join(line() for _ in range(rng.randint(4, 12))))
-    for i in range(40):
+    for i in range(400):
+        texts.append("\n".join(line() for _ in range(rng.randint(1, 12))))
+    for i in range(60):
         want[len(texts)] = "residue"
         texts.append("\n".join([line(), rng.choice(SLOTS), line(), line()]))
         want[len(texts)] = "message"
         texts.append(f"Home | Jobs | Sign in\n{rng.choice(MESSAGES)}\nBack to the start page.")
-    for loose in ("Welcome to [Firmenname]!", "Questions go to %nom du poste%.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."):
+    for loose in ("Welcome to [company name]!", "Questions go to %contact email%.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."):
         want[len(texts)] = "residue"
         texts.append("\n".join([line(), line(), loose]))
-    texts.append("\n".join([line(), "You write the texts of our 404 pages and fix error 500 reports.", "Our widgets work even when visitors have JavaScript disabled.", line(), line(), line(), line()]))
-    texts.append("\n".join([line(), "Practice with templates such as {{ }} is welcome.", "Array access like rows[i] should feel familiar.", line()]))
+    mentions = ["You write the texts of our 404 pages and fix error 500 reports.", "Our widgets work even when visitors have JavaScript disabled.", "Practice with templates such as {{ }} is welcome.", "Array access like rows[i] should feel familiar."]
+    for i in range(120):
+        texts.append("\n".join([line(), mentions[i % 4], *(line() for _ in range(rng.randint(3, 7)))]))
+    return texts, want
+
+
+def test_residue(spark):
+    texts, want = residue_texts(random.Random(6))
     texts += [None, "", "Home | Jobs", "y " * 30_000]
-    made = residue.residue(documents(spark, texts)).collect()
-    assert len(made) == len({r.doc_id for r in made}) and {r.doc_id: r.reason for r in made} == want
+    rows = [(r.doc_id, r.reason) for r in residue.residue(documents(spark, texts)).collect()]
+    made = dict(rows)
+    assert len(rows) == len(made)
+    both = sum(made.get(k) == v for k, v in want.items())
+    assert both >= 0.95 * len(want) and both >= 0.95 * len(made)
     assert residue.residue(documents(spark, texts).limit(0)).count() == 0
+
+
+def test_residue_beyond_former_limits(spark):
+    """Long messages, long slots, slots over lines and after many others."""
+    texts, want = residue_texts(random.Random(7))
+    error = " ".join(f"{m} Error {c}." for m in MESSAGES for c in (404, 500, 502, 503))
+    odd = {error: "message", "Welcome to {{company name " + "and the town " * 20 + "}}!": "residue", "Welcome to {{company\nname}}!": "residue", "You plan [1] [2] [3] [4] [5] and read {{company_name}}!": "residue"}
+    for text, reason in odd.items():
+        want[len(texts)] = reason
+        texts.append(text)
+    made = {r.doc_id: r.reason for r in residue.residue(documents(spark, texts)).collect()}
+    assert [made.get(k) for k in list(want)[-len(odd) :]] == list(odd.values())
+
+
+def test_every_passage_is_scored_by_the_model(spark):
+    """A trusted form that content holds in great numbers is content to the model."""
+    texts, want = residue_texts(random.Random(8))
+    quoted = "Session expired is what the third talk of the spring meeting was about, with coffee"
+    n = len(texts)
+    texts += [f"{quoted}.\n" + "\n".join(random.Random(i).choice(CONTENT).format(n=i) for _ in range(5)) for i in range(200)] + [quoted]
+    made = {r.doc_id for r in residue.residue(documents(spark, texts)).collect()}
+    assert not made & set(range(n, len(texts)))
+
+
+def test_drift_ends_the_rounds(spark, monkeypatch):
+    texts, _ = residue_texts(random.Random(9))
+    rows = documents(spark, texts).select("doc_id", "text").mapInArrow(residue._prepared, "doc_id long, sizes array<int>, kinds array<int>, words array<int>").cache()
+    monkeypatch.setattr(residue, "DRIFT", 2.0)  # every round counts as drift but the first
+    log = []
+    residue.fit(rows, log=log)
+    assert len(log) == 3
