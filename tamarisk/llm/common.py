@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
+import unicodedata
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,21 +21,57 @@ SPACES = "".join(map(chr, (
     0x205F, 0x3000,
 )))
 
-# Greek, Cyrillic and phonetic letters and the Latin letters they look like.
-LOOKALIKE = {
+# Greek, Cyrillic, Armenian and phonetic letters and the Latin letters they look like.
+_LETTERS = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
-    "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "ϲ": "c", "ϳ": "j",
+    "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "α": "a", "ν": "v", "ο": "o", "ρ": "p", "ϲ": "c", "ϳ": "j", "Ϲ": "C",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T",
-    "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G",
+    "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ӏ": "I",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j",
-    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ɡ": "g", "ɑ": "a", "ı": "i",
+    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ӏ": "l", "ɡ": "g", "ɑ": "a", "օ": "o", "հ": "h", "ս": "u", "Օ": "O",
 }
 
-# Compatibility forms of several letters.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "...", "№": "No", "™": "TM"}
+# The kinds of Unicode's compatibility decompositions that keep the look (not circles, raised or lowered
+# signs, fractions, vertical and small forms), and the Greek mu, written as a sign of its own.
+SAME_LOOK = "<wide> <narrow> <font> <noBreak> <square> <initial> <medial> <final> <isolated>".split()
+MU = {"µ": "μ"}
+LONG_S = "ſ"  # looks different from s, and so do ligatures with it
+
+
+def _spelt(char: str) -> str:
+    """A character without the compatibility forms that keep its look."""
+    tag, *parts = unicodedata.decomposition(char).split() or [""]
+    text = "".join(chr(int(p, 16)) for p in parts)
+    radical, several = 0x2E80 <= ord(char) < 0x2FE0, len(text) > 1
+    if tag in SAME_LOOK or tag == "<compat>" and (radical or several and LONG_S not in text):
+        if " " not in text or char in SPACES:
+            return "".join(map(_spelt, text))
+    return char
+
+
+def _by_rule() -> tuple[dict[str, str], dict[str, str]]:
+    """Look-alikes of Latin letters with their accented forms, and compatibility forms (of one or several characters)."""
+    alike, forms = dict(_LETTERS), dict(MU)
+    for char in filter(unicodedata.decomposition, map(chr, range(0x80, 0x20000))):
+        spelt = _spelt(char)
+        base, *marks = unicodedata.normalize("NFD", char)
+        if spelt != char:
+            forms[char] = "".join(_LETTERS.get(c, c) for c in spelt)
+        elif marks and base in _LETTERS:
+            alike[char] = unicodedata.normalize("NFC", _LETTERS[base] + "".join(marks))
+    return alike, {k: v for k, v in forms.items() if k not in alike and k not in SPACES and k not in INVISIBLE}
+
+
+LOOKALIKE, COMPATIBLE = _by_rule()
+WIDE = {a: b for a, b in COMPATIBLE.items() if len(b) == 1 and ord(a) >= 0xFF01}
+LIGATURES = {a: b for a, b in COMPATIBLE.items() if "\ufb00" <= a <= "\ufb06"}
+_PLAIN = str.maketrans(COMPATIBLE | LOOKALIKE | dict.fromkeys(SPACES, " ") | dict.fromkeys(INVISIBLE, ""))
+
+
+def plain(text: str) -> str:
+    """The form of problem 5 but for composed accents and white space."""
+    return text.translate(_PLAIN)
 
-# Wide forms by rule: U+FF01..U+FF5E are U+0021..U+007E.
-WIDE = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 
 # Combining marks and the base letters of the accented Latin letters, for accent-free keys.
 MARKS = "\\u0300-\\u036f"
@@ -51,10 +87,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary folder only where that is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, which must be set (any folder on a single machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local["):
+        # One process: its own folder is shared by all its tasks.
+        base = "file://" + os.path.join(os.getcwd(), "spark-warehouse", "shared")
     if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "tamarisk-shared")
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return base.rstrip("/")
 
 
@@ -82,7 +121,8 @@ def _translate(expr: str, pairs: dict[str, str]) -> str:
 
 def visible_sql(expr: str) -> str:
     """Spark SQL text: look-alikes, wide forms and odd spaces to plain characters, invisible characters away."""
-    pairs = LOOKALIKE | WIDE | dict.fromkeys(SPACES, " ")
+    pairs = {a: b for a, b in COMPATIBLE.items() if len(b) == 1} | LOOKALIKE | dict.fromkeys(SPACES, " ")
+    pairs = {a: b for a, b in pairs.items() if a <= "\uffff" and b <= "\uffff"}
     expr = f"regexp_replace({expr}, '[{INVISIBLE}]', '')"
     expr = _translate(expr, pairs)
     for a, b in LIGATURES.items():

@@ -2,7 +2,8 @@
 
 Method: the texts of an Arrow batch pass as one stream of code points through a lookup table that skips what does not
 count and folds the rest, into polynomial hashes of each field (four primes, 124 bits), added up so that the order of the
-two fields does not matter.  No canonical text is made.  Rows of one hash are compared with the first of them by two
+two fields does not matter.  No canonical string is made: but for the few characters with marks behind them, each code
+point is looked up on its own.  Rows of one hash are compared with the first of them by two
 pointers that skip and fold in step; rows that fail go round again with other bases, so a collision can't join rows.
 
 Defined results: a row with nothing that counts in either field (null, empty, marks only) is left out; the group's row is
@@ -11,6 +12,7 @@ its smallest id.  A group that holds a third of all rows costs a map-side aggreg
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,40 +22,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import INVISIBLE, LIGATURES, LOOKALIKE, SPACES, WIDE, materialise, table
+from .common import COMPATIBLE, INVISIBLE, LOOKALIKE, materialise, plain, table
 
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 COUNTED_MARKS = "+#"
-TABLE = 0x30000  # code points beyond the table are private, unassigned or tags: skipped
+SEVERAL = 0xFFFFFFFF
+JOINED, BETWEEN = 1, 2
+UNUSUAL = {*COMPATIBLE, *LOOKALIKE, *INVISIBLE}
 
 
-def _fold(char: str) -> str:
-    """The characters that one character counts as: none if it is skipped."""
-    char = LOOKALIKE.get(char) or WIDE.get(char) or LIGATURES.get(char) or char
-    return "".join(c for c in unicodedata.normalize("NFC", char.lower()) if c in COUNTED_MARKS or unicodedata.category(c)[0] in "LN")
+def _fold(text: str) -> str:
+    """The characters that count of a piece of text: those of its form in `lookalikes`, letter case and all else off."""
+    return "".join(c for c in unicodedata.normalize("NFC", plain(text)).lower() if c in COUNTED_MARKS or unicodedata.category(c)[0] in "LN")
 
 
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, dict[int, str], dict[tuple[int, int], int]]:
-    """code point -> folded code point or 0; those that count as several; base and combining accent -> one letter."""
-    one, several = np.zeros(TABLE, np.uint32), {}
-    for point in range(TABLE):
-        if point < 0x2E80 or 0xA640 <= point < 0xAC00 or point >= 0xF900:
-            made = _fold(chr(point))
-            if len(made) == 1:
-                one[point] = ord(made)
-            elif made:
-                several[point] = made
-    one[0x2E80:0xA640] = np.where([unicodedata.category(chr(p))[0] in "LN" for p in range(0x2E80, 0xA640)], np.arange(0x2E80, 0xA640), 0)
-    one[0xAC00:0xD7A4] = np.arange(0xAC00, 0xD7A4)
-    for char in INVISIBLE + SPACES:
-        one[ord(char)] = 0
-    composed = {}
-    for point in range(0xC0, 0x2000):
-        parts = unicodedata.normalize("NFD", chr(point))
-        if len(parts) == 2 and 0x300 <= ord(parts[1]) < 0x370 and one[point] and parts[0] not in LOOKALIKE:
-            composed[(int(one[ord(parts[0])]), ord(parts[1]))] = int(one[point])
-    return one, several, composed
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: the folded code point, 0 if it is skipped, SEVERAL if it counts as several; and whether it changes
+    the character before it (combining marks, the later parts of syllables) or lies between invisibly."""
+    kinds = [unicodedata.category(chr(p)) for p in range(sys.maxunicode + 1)]
+    last = max(p for p, kind in enumerate(kinds) if kind[0] in "LN" or unicodedata.combining(chr(p)))
+    one, joins = np.zeros(last + 2, np.uint32), np.zeros(last + 2, np.int8)
+    for point in (p for p in range(last + 1) if kinds[p] not in ("Cn", "Co", "Cs")):
+        char = chr(point)
+        parts = unicodedata.normalize("NFD", char)
+        if kinds[point] == "Lo" and len(parts) == 1 and ord(parts) == point and char not in UNUSUAL:
+            one[point] = point
+            continue
+        made = _fold(char)
+        one[point] = ord(made) if len(made) == 1 else SEVERAL if made else 0
+        if unicodedata.combining(char):
+            joins[point] = JOINED
+        for later in parts[1:]:
+            joins[ord(later)] = JOINED
+    for char, form in COMPATIBLE.items():
+        if joins[ord(form[0])] == JOINED:
+            joins[ord(char)] = JOINED
+    for char in INVISIBLE:
+        joins[ord(char)] = BETWEEN
+    return one, joins
+
+
+def _clusters(points: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
+    """Where a character and what joins it stand, or one that counts as several: such pieces are folded as a whole."""
+    one, joins = _tables()
+    kinds = joins[np.minimum(points, len(joins) - 1)]
+    special = np.flatnonzero((kinds == JOINED) | (one[np.minimum(points, len(one) - 1)] == SEVERAL))
+    first, made = set(starts.tolist()) if len(special) else set(), []
+    for at in special.tolist():
+        if made and at < made[-1][1]:
+            continue
+        low, high = at, at + 1
+        while kinds[low] and low not in first:
+            low -= 1
+        while high < len(points) and kinds[high] and high not in first:
+            high += 1
+        made.append((low, high))
+    return made
 
 
 def _stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,24 +90,19 @@ def _stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     starts = before[offsets - offsets[0]]
-    one, several, composed = _tables()
-    folded = one[np.minimum(points, TABLE - 1)]
-    accents = np.flatnonzero((points >= 0x300) & (points < 0x370))
-    if len(accents):
-        folded = folded.copy()
-        first = set(starts.tolist())
-        for at in accents.tolist():
-            if at and at not in first and (made := composed.get((int(folded[at - 1]), int(points[at])))):
-                folded[at - 1] = made
-    rare = np.flatnonzero(np.isin(points, np.fromiter(several, np.uint32, len(several)))) if len(several) else []
-    if len(rare):
-        times = np.ones(len(points), np.int64)
-        texts = [several[int(points[at])] for at in rare]
-        times[rare] = [len(t) for t in texts]
+    one, _ = _tables()
+    folded = one[np.minimum(points, len(one) - 1)]
+    if len(pieces := _clusters(points, starts)):
+        times, texts = np.ones(len(points), np.int64), []
+        for low, high in pieces:
+            text = _fold("".join(map(chr, points[low:high].tolist())))
+            times[low:high] = 0
+            times[low] = len(text)
+            texts.append(text)
         place = np.concatenate([[0], np.cumsum(times)])
         folded = np.repeat(folded, times)
-        for at, text in zip(rare, texts):
-            folded[place[at] : place[at] + len(text)] = [ord(c) for c in text]
+        for (low, _), text in zip(pieces, texts):
+            folded[place[low] : place[low] + len(text)] = [ord(c) for c in text]
         starts = place[starts]
     return folded, starts
 
@@ -142,20 +162,20 @@ def _hash_batches(round_: int):
 
 
 def _steps(text: str) -> Iterator[int]:
-    """The folded code points of a text, one by one."""
-    one, several, composed = _tables()
-    n, at = len(text), 0
+    """The folded code points of a text, one by one; a character is folded with what joins it, as in `_stream`."""
+    one, joins = _tables()
+    last, n, at = len(one) - 1, len(text), 0
+    kind = lambda i: joins[min(ord(text[i]), last)]
     while at < n:
-        point = ord(text[at])
+        code, low = int(one[min(ord(text[at]), last)]), at
         at += 1
-        if point in several:
-            yield from map(ord, several[point])
-            continue
-        code = int(one[point]) if point < TABLE else 0
-        while at < n and 0x300 <= ord(text[at]) < 0x370:
-            code = composed.get((code, ord(text[at])), code)
+        joined = code == SEVERAL or kind(low) == JOINED
+        while at < n and kind(at):
+            joined = joined or kind(at) == JOINED
             at += 1
-        if code:
+        if joined:
+            yield from map(ord, _fold(text[low:at]))
+        elif code:
             yield code
 
 

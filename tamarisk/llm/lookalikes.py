@@ -1,8 +1,10 @@
 """Problem 5: one form for texts that look the same.
 
 Method: DuckDB inside Arrow partitions.  Each executor's Arrow batches are registered with an embedded DuckDB, whose SQL
-takes invisible characters away (regular expression), maps look-alike letters, wide forms and odd spaces (translate),
-spells ligatures out (replace), composes accents (nfc_normalize) and makes white space runs one space.
+takes invisible characters away (regular expression), maps look-alike letters, compatibility forms and odd spaces
+(translate, and lists by code point for the many rare ones), composes accents (nfc_normalize) and makes white space
+runs one space.  The tables come from Unicode's decompositions by rule (`common`): kept are kinds that look the same, as
+wide, narrow, mathematical and Arabic presentation forms, ligatures and units; circled, raised and lowered signs are not.
 
 Defined results: null is the empty text; case, accents, marks and the length of a dash stay.  Rows that look the same are
 found by a 128-bit digest of the three forms, and differ when the digests of the stored texts (ordinary white space made
@@ -11,13 +13,14 @@ even) differ; a group in which all rows have the same characters is dropped befo
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import INVISIBLE, LIGATURES, LOOKALIKE, SPACES, WIDE, materialise, table
+from .common import COMPATIBLE, INVISIBLE, LOOKALIKE, SPACES, WIDE, materialise, table
 
 FIELDS = ["title", "company", "location"]
 
@@ -26,14 +29,47 @@ def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _class(chars: str) -> str:
+    """A character class of a regular expression."""
+    points, ranges = sorted(map(ord, chars)), []
+    for p in points:
+        if ranges and p == ranges[-1][1] + 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+# Tables that a text asks for by what it holds, the most usual ones first, so that one kind costs one small translation.
+LETTERS = {a: b for a, b in LOOKALIKE.items() if len(unicodedata.normalize("NFD", a)) == 1}
+ASCII_WIDE = {a: b for a, b in WIDE.items() if "!" <= b <= "~"}
+RARE = {a: b for a, b in (LOOKALIKE | COMPATIBLE).items() if a not in LETTERS and a not in ASCII_WIDE}
+# Ranges of code points in which the rare forms lie closely enough for lists that are looked up by code point.
+SPANS = [(0x80, 0x58F), (0x1C80, 0x1FFF), (0x2000, 0x33FF), (0xFB00, 0xFFEF), (0x1D400, 0x1D7FF), (0x1EE00, 0x1F2FF)]
+
+
+def _translated(sql: str, pairs: dict[str, str]) -> str:
+    return f"translate({sql}, {_text(''.join(pairs))}, {_text(''.join(pairs.values()))})"
+
+
+def _looked_up(sql: str, pairs: dict[str, str]) -> str:
+    """Character by character, from lists over spans of code points; what lies in none of them, from a map."""
+    left, cases = dict(pairs), []
+    for low, high in SPANS:
+        texts = [left.pop(chr(p), chr(p)) for p in range(low, high + 1)]
+        cases.append(f"WHEN ord(c) BETWEEN {low} AND {high} THEN list_extract([{', '.join(map(_text, texts))}], ord(c) - {low - 1})")
+    if left:
+        cases.append("WHEN ord(c) > 127 THEN coalesce(MAP {" + ", ".join(f"{_text(a)}: {_text(b)}" for a, b in left.items()) + "}[c], c)")
+    return f"array_to_string(list_transform(string_split({sql}, ''), lambda c: CASE {' '.join(cases)} ELSE c END), '')"
+
+
 def form_sql(column: str) -> str:
     """DuckDB SQL of the form of a column."""
-    pairs = LOOKALIKE | WIDE | dict.fromkeys(SPACES, " ")
-    sql = f"regexp_replace(coalesce({column}, ''), {_text('[' + INVISIBLE + ']')}, '', 'g')"
-    sql = f"translate({sql}, {_text(''.join(pairs))}, {_text(''.join(pairs.values()))})"
-    for a, b in LIGATURES.items():
-        sql = f"replace({sql}, {_text(a)}, {_text(b)})"
-    return rf"trim(regexp_replace(nfc_normalize({sql}), '[ \t\r\n\f\v]+', ' ', 'g'), ' ')"
+    text = f"regexp_replace({column}, {_text(_class(INVISIBLE))}, '', 'g')"
+    for pairs, change in ((dict.fromkeys(SPACES, " "), _translated), (ASCII_WIDE, _translated), (LETTERS, _translated), (RARE, _looked_up)):
+        text = f"CASE WHEN regexp_matches({column}, {_text(_class(''.join(pairs)))}) THEN {change(text, pairs)} ELSE {text} END"
+    text = f"CASE WHEN {column} IS NULL THEN '' WHEN strlen({column}) = length({column}) THEN {column} ELSE nfc_normalize({text}) END"
+    return rf"trim(regexp_replace({text}, '[ \t\r\n\f\v]+', ' ', 'g'), ' ')"
 
 
 def plain_sql(column: str) -> str:
