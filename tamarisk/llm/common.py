@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import unicodedata
 import uuid
@@ -63,7 +62,7 @@ def _by_rule() -> tuple[dict[str, str], dict[str, str]]:
 
 
 LOOKALIKE, COMPATIBLE = _by_rule()
-WIDE = {a: b for a, b in COMPATIBLE.items() if len(b) == 1 and ord(a) >= 0xFF01}
+WIDE = {a: b for a, b in COMPATIBLE.items() if len(b) == 1 and "\uff01" <= a <= "\uffee"}
 LIGATURES = {a: b for a, b in COMPATIBLE.items() if "\ufb00" <= a <= "\ufb06"}
 _PLAIN = str.maketrans(COMPATIBLE | LOOKALIKE | dict.fromkeys(SPACES, " ") | dict.fromkeys(INVISIBLE, ""))
 
@@ -107,13 +106,6 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver give back plans and broadcasts of finished steps now: in a run of many small steps they pile up on
-    its heap until a collection of its own, and on the executors until then, too."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _translate(expr: str, pairs: dict[str, str]) -> str:
     quote = lambda s: s.replace("\\", "\\\\").replace("'", "\\'")
     return f"translate({expr}, '{quote(''.join(pairs))}', '{quote(''.join(pairs.values()))}')"
@@ -121,8 +113,8 @@ def _translate(expr: str, pairs: dict[str, str]) -> str:
 
 def visible_sql(expr: str) -> str:
     """Spark SQL text: look-alikes, wide forms and odd spaces to plain characters, invisible characters away."""
-    pairs = {a: b for a, b in COMPATIBLE.items() if len(b) == 1} | LOOKALIKE | dict.fromkeys(SPACES, " ")
-    pairs = {a: b for a, b in pairs.items() if a <= "\uffff" and b <= "\uffff"}
+    # The usual forms only, since the text of the tables is part of each plan.
+    pairs = {a: b for a, b in (LOOKALIKE | WIDE).items() if len(b) == 1 and b <= "~"} | dict.fromkeys(SPACES, " ")
     expr = f"regexp_replace({expr}, '[{INVISIBLE}]', '')"
     expr = _translate(expr, pairs)
     for a, b in LIGATURES.items():

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixture, names, places, titles
-from .common import key_sql, materialise, release, sql, table
+from .common import key_sql, materialise, sql, table
 
 STEP = 0.05  # the grid of similarities
 FEATURES = ["s_words", "s_letters", "s_name", "s_place", "s_ref"]
@@ -78,16 +78,12 @@ def place_keys(spark: SparkSession, rows: DataFrame, ref: DataFrame) -> DataFram
 def classes(spark: SparkSession, jobs: DataFrame, ref: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows (id, src, cls) and classes (cls, org, core, tk, ref, place)."""
     rows, spelt = arranged(jobs)
-    release(spark)
     orgs = materialise(names.link(spelt, "p1").select(F.xxhash64("name").alias("hc"), "org", "core"), "p1-orgs")
-    release(spark)
     spots = materialise(place_keys(spark, rows, ref), "p1-places")
-    release(spark)
     text = rows.select("id", "src", F.xxhash64("company").alias("hc"), F.when(F.col("location").isNotNull(), F.xxhash64("location")).alias("hl"), titles.reference("title").alias("ref"), titles.words("title").alias("words"))
     text = materialise(text.withColumn("h", F.xxhash64("words")), "p1-text")
     heads = titles.canonical(materialise(text.groupBy("h").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n")), "p1-titles"))
     heads = materialise(heads.where("tk <> ''").select("h", "tk", F.xxhash64("tk").alias("ht")), "p1-heads")
-    release(spark)
     full = text.drop("words").join(orgs.select("hc", "org", F.xxhash64("core").alias("hn")), "hc").join(spots, "hl", "left").join(heads.select("h", "ht"), "h")
     full = full.withColumn("cls", F.xxhash64("org", "ht", "ref", "place"))
     full = materialise(full.select("id", "src", "cls", "org", "hn", "ht", "ref", "place"), "p1-full")
@@ -101,15 +97,23 @@ def _grid(c: Column) -> Column:
 
 
 def candidates(made: DataFrame) -> DataFrame:
-    """(a, b, similarities): pairs of classes, a < b, and each class with itself."""
+    """(a, b, similarities): pairs of classes, a < b, and each class with itself.
+
+    Classes without reference meet by all words, or all but one at one place.  Classes with one meet by it, and otherwise
+    only those without, at the same place or where one names none: so their number doesn't square under one title."""
     words = F.split("tk", " ")
-    near = F.transform(words, lambda w: F.xxhash64(F.lit("n"), "place", F.array_join(F.array_remove(words, w), " ")))
-    same, by_ref = F.xxhash64(F.lit("t"), "tk"), F.xxhash64(F.lit("r"), "ref")
-    keys = F.when(F.col("ref").isNotNull(), F.array(by_ref, same)).otherwise(F.concat(F.array(same), near))
-    keyed = made.select("cls", "org", "ref", F.explode(F.array_distinct(keys)).alias("k"))
-    left = keyed.select("org", "k", F.col("cls").alias("a"), F.col("ref").alias("ra"))
-    right = keyed.select("org", "k", F.col("cls").alias("b"), F.col("ref").alias("rb"))
-    pairs = left.join(right, ["org", "k"]).where("a < b AND (ra IS NULL OR rb IS NULL OR ra = rb)").select("a", "b").distinct()
+    both, one, other = F.lit(2), F.lit(0), F.lit(1)
+    link = lambda side, *parts: F.struct(F.xxhash64(*parts).alias("k"), side.alias("side"))
+    near = F.transform(words, lambda w: link(both, F.lit("n"), "place", F.array_join(F.array_remove(words, w), " ")))
+    spot = lambda side, place: link(side, F.lit("o"), "tk", place)
+    anywhere = lambda side: link(side, F.lit("a"), "tk")
+    place = F.coalesce("place", F.lit(""))
+    bare = F.concat(F.array(link(both, F.lit("t"), "tk"), spot(one, place), anywhere(one)), near)
+    given = F.concat(F.array(link(both, F.lit("r"), "ref"), spot(other, place), spot(other, F.lit(""))), F.when(F.col("place").isNull(), F.array(anywhere(other))).otherwise(F.array().cast("array<struct<k:bigint,side:int>>")))
+    keyed = made.select("cls", "org", F.explode(F.array_distinct(F.when(F.col("ref").isNull(), bare).otherwise(given))).alias("x")).select("cls", "org", "x.*")
+    left = keyed.where("side <> 1").select("org", "k", F.col("cls").alias("x"), F.col("side").alias("sx"))
+    right = keyed.where("side <> 0").select("org", "k", F.col("cls").alias("y"), F.col("side").alias("sy"))
+    pairs = left.join(right, ["org", "k"]).where("sx = 2 AND sy = 2 AND x < y OR sx = 0 AND sy = 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return similarities(made, pairs.unionByName(made.where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))))
 
 
@@ -259,7 +263,6 @@ def matched(spark: SparkSession, jobs: DataFrame, ref: DataFrame, least: float =
     """(id_a, id_b, confidence): rows of different sources that advertise the same opening."""
     rows, made = classes(spark, jobs.select("id", "source", "title", "company", "location"), ref)
     pairs = materialise(candidates(made), "p1-pairs")
-    release(spark)
     links = posteriors(spark, pairs, made).where(F.col("p") >= least).select("a", "b", "p")
     left = rows.select(F.col("cls").alias("a"), F.col("id").alias("x"), F.col("src").alias("sx"))
     right = rows.select(F.col("cls").alias("b"), F.col("id").alias("y"), F.col("src").alias("sy"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import key, materialise, sql, table
 from .graph import components
-from .pigeonhole import pigeonhole
+from .pigeonhole import MIN_FUZZY, near_sql, pigeonhole
 
 # Legal forms of organisations, without dots and spaces.
 LEGAL = (
@@ -49,10 +49,8 @@ GENERIC = (
 BRANCH = "head main central regional local north south east west northern southern eastern western office offices branch hq headquarters division department and the of".split()
 MISSING = "na none null unknown confidential anonymous undisclosed unnamed private tba tbd various company employer organisation organization".split()
 
-GENERIC_SHARE = 0.01  # a word with so many of all names beside it counts as generic as well,
-GENERIC_LEAST = 40  # and with so many at least
-LEAST_CORE = 8  # shorter joined words must be equal
-LEAST_SHORT, MOST_SHORT = 5, 12  # letters of a shortened name
+LEAST_CORE = 8  # shorter joined words are linked over an edit only in the order written and beside the same generic word
+LEAST_SHORT = 5  # letters of a shortened name; at most all but the last two of the whole one
 
 
 def _words(column: Column) -> Column:
@@ -80,48 +78,34 @@ def spellings(jobs: DataFrame) -> DataFrame:
 
 def _like(word: str, short: str) -> str:
     """SQL: `short` has some letters of `word`, in order, the first among them."""
-    return f"(length({short}) < length({word}) AND regexp_like({word}, concat('^', array_join(split({short}, ''), '.*'))))"
+    step = f"aggregate(split({short}, ''), 0, (p, c) -> IF(p < 0, -1, coalesce(nullif(locate(c, {word}, p + 1), 0), -1)))"
+    return f"(length({short}) < length({word}) AND left({short}, 1) = left({word}, 1) AND {step} > 0)"
 
 
 def cores(names: DataFrame, what: str = "p6") -> DataFrame:
     """(name, n, words, core, trade, brief): the distinctive words in order, joined; the generic word or its abbreviation."""
-    spark = names.sparkSession
     text = key("name")
     text = F.when(F.regexp_like(text, F.lit(r"[\p{L}\p{N}].*\(.*\)\W*$")), F.regexp_replace(text, r"\([^()]*\)(\W*)$", "$1")).otherwise(text)
     split = names.select("name", "n", _words(text).alias("all"))
-    split = materialise(split.where((F.size("all") > 0) & ~F.array_join("all", "").isin(MISSING)), f"{what}-split")
-    fixed = lambda xs: F.split(F.lit(" ".join(xs)), " ")
-    # Words beside which many other names stand: generic ones that the fixed list lacks.
-    total = split.agg(F.count(F.lit(1)).alias("n")).first().n
-    beside = split.where(F.size("all") > 1).select(F.explode(F.array_distinct(F.slice("all", 2, 8))).alias("w"), F.substring(F.get("all", F.lit(0)), 1, 3).alias("first"))
-    common = beside.groupBy("w").agg(F.countDistinct("first").alias("n")).where((F.col("n") >= max(GENERIC_LEAST, GENERIC_SHARE * total)) & (F.length("w") > 1))
-    learned = [r.w for r in common.collect()]  # at most 8 / GENERIC_SHARE words, as 8 of a name are counted
-    words = sorted({*GENERIC, *learned} - {*LEGAL, *BRANCH})
-    generic = fixed(words)
-    split = split.withColumn("trade", F.get(F.filter("all", lambda w: F.array_contains(generic, w)), F.lit(0)))
-    split = split.withColumn("words", F.array_except("all", F.array_union(fixed(LEGAL + BRANCH), generic)))
+    listed = lambda xs: f"split('{' '.join(xs)}', ' ')"
+    fixed = lambda xs: F.expr(listed(xs))
+    generic = sorted({*GENERIC} - {*LEGAL, *BRANCH})
+    split = split.where((F.size("all") > 0) & ~F.array_join("all", "").isin(MISSING))
+    split = split.withColumn("trade", F.get(F.filter("all", lambda w: F.array_contains(fixed(generic), w)), F.lit(0)))
+    split = split.withColumn("words", F.array_except("all", fixed(LEGAL + BRANCH + generic)))
     # Without a generic word, the last word may be an abbreviated or misspelt one, or end in one.
-    last = F.when(F.col("trade").isNull(), F.element_at("words", -1))
-    lasts = split.select(last.alias("owner")).where("owner IS NOT NULL").distinct().withColumn("gram", F.col("owner"))
-    vocabulary = spark.createDataFrame([(w,) for w in words], "name string")
-    wrong = pigeonhole(spark, lasts, vocabulary)
-    kinds = sql(
-        spark,
-        f"""SELECT owner, max(name) AS meant, max(head) AS head, max(brief) AS brief FROM (
-                SELECT owner, name, CAST(NULL AS STRING) AS head, CAST(NULL AS STRING) AS brief FROM {{wrong}}
-                UNION ALL SELECT owner, NULL, NULL, owner FROM {{lasts}} l JOIN {{vocabulary}} v ON left(l.owner, 1) = left(v.name, 1)
-                          WHERE length(l.owner) <= 5 AND {_like("v.name", "l.owner")}
-                UNION ALL SELECT owner, name, left(owner, length(owner) - length(name)), NULL
-                          FROM {{lasts}} l JOIN {{vocabulary}} v ON right(l.owner, 4) = right(v.name, 4)
-                          WHERE endswith(l.owner, v.name) AND length(l.owner) >= length(v.name) + 4)
-            GROUP BY owner""",
-        wrong=wrong,
-        lasts=lasts,
-        vocabulary=vocabulary,
-    )
+    split = split.withColumn("last", F.when(F.col("trade").isNull(), F.element_at("words", -1)))
     # Each step is written: one plan of all of them would be planned anew as a whole after each of its many stages.
-    kinds = materialise(kinds, f"{what}-kinds")
-    split = split.withColumn("last", last).join(kinds, F.col("last") == F.col("owner"), "left")
+    split = materialise(split.drop("all"), f"{what}-split")
+    # The generic words are a fixed list, so what the last words mean is no join.
+    kinds = split.select(F.col("last").alias("owner")).where("owner IS NOT NULL").distinct().select(
+        "owner",
+        F.expr(f"array_max(filter({listed(generic)}, w -> length(w) >= {MIN_FUZZY} AND abs(length(w) - length(owner)) <= 1 AND {near_sql('owner', 'w')}))").alias("wrong"),
+        F.expr(f"array_max(transform(filter({listed(generic)}, w -> endswith(owner, w) AND length(owner) >= length(w) + 4), w -> struct(length(w) AS n, w AS w))).w").alias("tail"),
+        F.expr(f"IF(length(owner) <= 5 AND exists({listed(generic)}, w -> {_like('w', 'owner')}), owner, NULL)").alias("brief"),
+    )
+    kinds = materialise(kinds.where("coalesce(wrong, tail, brief) IS NOT NULL").selectExpr("owner", "greatest(wrong, tail) AS meant", "left(owner, length(owner) - length(tail)) AS head", "brief"), f"{what}-kinds")
+    split = split.join(kinds, F.col("last") == F.col("owner"), "left")
     several, front = F.size("words") > 1, F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0)))
     split = split.withColumns({
         "full": F.when(F.col("meant").isNull() & F.col("brief").isNotNull() & several, F.col("words")),
@@ -135,12 +119,13 @@ def cores(names: DataFrame, what: str = "p6") -> DataFrame:
     split = materialise(split.select("name", "n", "words", "full", "core", "full_core", "trade", "brief"), f"{what}-parts")
     # What looks like an abbreviation is a word of the name where the name is known with it.
     known = split.where("full IS NULL").select(F.col("core").alias("known")).distinct()
-    split = split.join(known, F.col("full_core") == F.col("known"), "left")
+    odd = split.where("full_core IS NOT NULL").join(known.hint("merge"), F.col("full_core") == F.col("known"), "left")
     whole = F.col("known").isNotNull()
-    return split.select(
+    odd = odd.select(
         "name", "n", F.when(whole, F.col("full")).otherwise(F.col("words")).alias("words"), F.when(whole, F.col("known")).otherwise(F.col("core")).alias("core"), "trade",
         F.when(~whole, F.col("brief")).alias("brief"),
     )
+    return split.where("full_core IS NULL").select("name", "n", "words", "core", "trade", F.lit(None).cast("string").alias("brief")).unionByName(odd)
 
 
 def _without_acronym(words: str) -> Column:
@@ -165,29 +150,33 @@ def link(names: DataFrame, what: str = "p6") -> DataFrame:
     # The joined words from each word on, the first ones at the end.
     turn = lambda i: F.array_join(F.concat(F.slice("words", i, F.size("words")), F.slice("words", 1, i - 1)), "")
     turned = forms.select(F.col("core").alias("owner"), F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), turn)).alias("gram")).distinct()
-    near = pigeonhole(spark, turned, forms.select(F.col("core").alias("name")), least=LEAST_CORE)
+    near = pigeonhole(spark, turned, forms.select(F.col("core").alias("name")))
     agree = f"""(a.trade = b.trade OR a.trade IS NULL AND (a.brief IS NULL OR b.trade IS NULL OR {_like("b.trade", "a.brief")})
                  OR b.trade IS NULL AND (b.brief IS NULL OR {_like("a.trade", "b.brief")}))"""
+    # The sides grow with the names: no join is a broadcast.
     equal = sql(
         spark,
-        f"""SELECT DISTINCT a.form AS a, b.form AS b
-            FROM (SELECT owner, name FROM {{near}} UNION SELECT owner, gram FROM {{turned}}) x
+        f"""SELECT /*+ MERGE(x, a, b) */ DISTINCT a.form AS a, b.form AS b
+            FROM (SELECT owner, name, owner = gram AS plain, true AS misspelt FROM {{near}} UNION ALL SELECT owner, gram, false, false FROM {{turned}} WHERE gram <> owner) x
             JOIN {{forms}} a ON a.core = x.owner JOIN {{forms}} b ON b.core = x.name
-            WHERE a.form <> b.form AND {agree}""",
+            WHERE a.form <> b.form AND {agree} AND (NOT misspelt OR least(length(a.core), length(b.core)) >= {LEAST_CORE} OR plain AND a.trade = b.trade)""",
         near=near,
         turned=turned,
         forms=forms,
     )
     # A shortened name: the start of the joined words of a whole one (the last word's first letters, alone or run in with
     # the first word).  It goes to the name of most rows among those that it fits.
-    cuts = F.sequence(F.lit(LEAST_SHORT), F.least(F.lit(MOST_SHORT), F.length("core") - 2))
+    short = forms.where("trade IS NOT NULL OR brief IS NOT NULL OR size(words) > 1")
+    cuts = F.sequence(F.lit(LEAST_SHORT), F.length("core") - 2)
     cut = forms.where(F.length("core") >= LEAST_CORE).select("core", F.explode(F.transform(cuts, lambda i: F.substring(F.col("core"), F.lit(1), i))).alias("short"))
     shortened = sql(
         spark,
         f"""SELECT a.form AS a, max_by(b.form, struct(b.n, b.form)) AS b
-            FROM {{cut}} c JOIN {{forms}} a ON a.core = c.short JOIN {{forms}} b ON b.core = c.core
-            WHERE (a.trade IS NOT NULL OR a.brief IS NOT NULL OR size(a.words) > 1) AND {agree} GROUP BY a.form""",
+            FROM (SELECT /*+ MERGE(c, s) */ s.*, c.core AS whole FROM {{cut}} c JOIN {{short}} s ON s.core = c.short) a
+            JOIN {{forms}} b ON b.core = a.whole
+            WHERE {agree} GROUP BY a.form""",
         cut=cut,
+        short=short,
         forms=forms,
     )
     orgs = materialise(components(equal.unionByName(shortened), f"{what}-links"), f"{what}-orgs")

@@ -36,18 +36,25 @@ SEGMENTS = """
           FROM (SELECT DISTINCT name FROM {names} WHERE length(name) >= {least}))
 """
 
-# One edit, or two that are a swap of two neighbours: the same letters in another order, no other difference.
+# SQL: one edit, or two that are a swap of two neighbours.
+NEAR = """({a} IS NOT NULL AND (levenshtein({a}, {b}, 2) BETWEEN 0 AND 1
+    OR (length({a}) = length({b}) AND levenshtein({a}, {b}, 2) = 2 AND exists(sequence(1, length({a}) - 1),
+        i -> {a} = concat(left({b}, i - 1), substring({b}, i + 1, 1), substring({b}, i, 1), substring({b}, i + 2))))))"""
+
+
+def near_sql(a: str, b: str) -> str:
+    return NEAR.replace("{a}", a).replace("{b}", b)
+
+
 VERIFIED = """
     SELECT owner, gram, name
     FROM (SELECT DISTINCT p.owner, p.gram, g.name
           FROM {probes} p JOIN {segments} g ON p.m = g.m AND p.s = g.s AND p.piece = g.piece)
-    WHERE levenshtein(gram, name, 2) BETWEEN 0 AND 1
-       OR (length(gram) = length(name) AND levenshtein(gram, name, 2) = 2
-           AND array_sort(split(gram, '')) = array_sort(split(name, '')))
+    WHERE {near}
 """
 
 
 def pigeonhole(spark: SparkSession, grams: DataFrame, names: DataFrame, k: int = MAX_EDITS, least: int = MIN_FUZZY) -> DataFrame:
     """grams(owner, gram), names(name) -> (owner, gram, name): grams within one edit or one swap of a name."""
     fill = lambda text: text.replace("{k}", str(k)).replace("{least}", str(least))
-    return sql(spark, VERIFIED, probes=sql(spark, fill(PROBES), grams=grams), segments=sql(spark, fill(SEGMENTS), names=names))
+    return sql(spark, VERIFIED.replace("{near}", near_sql("gram", "name")), probes=sql(spark, fill(PROBES), grams=grams), segments=sql(spark, fill(SEGMENTS), names=names))

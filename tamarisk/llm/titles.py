@@ -27,8 +27,7 @@ NOTICES = [
 ]
 
 REF_DIGITS = 4  # a number of so many digits or more is a reference
-KNOWN_SHARE = 1 / 2000  # words of so many titles are known ones: at most 2000 times the words of a title
-KNOWN_LEAST = 3
+RATIO = 10  # a word is a misspelling of one within an edit or swap of it that so many times as many titles hold
 
 
 def reference(column: str) -> Column:
@@ -56,40 +55,37 @@ def words(column: str) -> Column:
 def canonical(titles: DataFrame, what: str = "titles") -> DataFrame:
     """titles(h, words, n) -> (h, tk): the distinct canonical words, sorted and joined by spaces.
 
-    A word that few titles hold is led to the known word within one edit or swap, or cut into two known ones that were run
-    together; else it stays."""
+    A word is led to one within an edit or swap of it that RATIO times as many titles hold, or cut into two such words that
+    were run together; else it stays.  Only the proportion of the two counts, not the number of titles."""
     spark = titles.sparkSession
-    total = titles.agg(F.sum("n").alias("n")).first().n or 0
     counts = titles.select("n", F.explode(F.array_distinct("words")).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"))
     counts = materialise(counts, f"{what}-counts")
-    least = max(KNOWN_LEAST, total * KNOWN_SHARE)
-    known = counts.where(F.col("n") >= least).select(F.col("w").alias("name"), F.col("n").alias("weight"))
-    rare = counts.where((F.col("n") < least) & (F.length("w") > 3)).select(F.col("w").alias("owner"), F.col("w").alias("gram"))
-    near = pigeonhole(spark, rare, known, least=4)
-    halves = rare.select("owner", F.explode(F.sequence(F.lit(1), F.length("owner") - 1)).alias("i"))
-    halves = halves.select("owner", F.expr("left(owner, i)").alias("l"), F.expr("substring(owner, i + 1)").alias("r"))
+    usual = counts.where(F.col("n") >= RATIO).select(F.col("w").alias("name"), F.col("n").alias("weight"))
+    words = counts.where(F.length("w") > 3).select(F.col("w").alias("owner"), F.col("w").alias("gram"), "n")
+    near = pigeonhole(spark, words, usual, least=4)
+    halves = words.select("owner", "n", F.explode(F.sequence(F.lit(1), F.length("owner") - 1)).alias("i"))
+    halves = halves.select("owner", "n", F.expr("left(owner, i)").alias("l"), F.expr("substring(owner, i + 1)").alias("r"))
     fixes = sql(
         spark,
-        """SELECT owner, max_by(fixed, struct(kind, weight, fixed)) AS fixed FROM (
-               SELECT n.owner, n.name AS fixed, 1 AS kind, k.weight FROM {near} n JOIN {known} k ON n.name = k.name
+        f"""SELECT owner, max_by(fixed, struct(kind, weight, fixed)) AS fixed FROM (
+               SELECT n.owner, n.name AS fixed, 1 AS kind, k.weight FROM {{near}} n JOIN {{usual}} k ON n.name = k.name
+               JOIN {{words}} w ON n.owner = w.owner WHERE k.weight >= {RATIO} * w.n
                UNION ALL
                SELECT h.owner, concat(l.name, ' ', r.name), 0, least(l.weight, r.weight)
-               FROM {halves} h JOIN {known} l ON h.l = l.name JOIN {known} r ON h.r = r.name)
+               FROM {{halves}} h JOIN {{usual}} l ON h.l = l.name JOIN {{usual}} r ON h.r = r.name
+               WHERE least(l.weight, r.weight) >= {RATIO} * h.n)
            GROUP BY owner""",
         near=near,
-        known=known,
+        usual=usual,
         halves=halves,
+        words=words,
     )
     fixes = materialise(fixes, f"{what}-fixes")
-    # Only the titles that hold a word to be led on take part in the join; known words are an array of bounded size.
-    common = [r.name for r in known.select("name").orderBy("name").collect()]
-    array = F.split(F.lit(" ".join(common)), " ")
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), " ")
-    odd = F.size(F.array_except("words", array)) > 0
-    plain = titles.where(~odd).select("h", join("words").alias("tk"))
-    odd = titles.where(odd).select("h", F.posexplode("words").alias("at", "w")).join(fixes, F.col("w") == F.col("owner"), "left")
-    odd = odd.groupBy("h").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", F.coalesce("fixed", "w").alias("w")))).getField("w"), " ").alias("t"))
-    text = F.concat(F.lit(" "), F.col("t"), F.lit(" "))
+    # Only the titles that hold a word to be led on are changed.
+    odd = titles.select("h", F.explode(F.array_distinct("words")).alias("owner")).join(fixes, "owner").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("owner", "fixed"))).alias("fixes"))
+    led = titles.join(odd, "h", "left")
+    text = F.concat(F.lit(" "), F.array_join(F.transform("words", lambda w: F.coalesce(F.get(F.map_values(F.map_filter("fixes", lambda k, v: k == w)), F.lit(0)), w)), " "), F.lit(" "))
     for pair in RUN_IN:
         text = F.replace(text, F.lit(f" {pair} "), F.lit(f" {pair.replace(' ', '')} "))
-    return plain.unionByName(odd.select("h", join(F.split(F.trim(text), " ")).alias("tk")))
+    return led.select("h", F.when(F.col("fixes").isNull(), join("words")).otherwise(join(F.split(F.trim(text), " "))).alias("tk"))
