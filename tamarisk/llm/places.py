@@ -19,15 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import key_sql, materialise, sql, table
 from .pigeonhole import pigeonhole
 
-# Words of a value, each n-gram of up to four, joined without spaces; its place and number of words.
+# Words of a value and each n-gram, joined without spaces, that is one word or short enough for a name with one letter more; its place
+# and number of words.
 GRAMS = """
-    SELECT field_name, raw_value, n_words, at, n, array_join(slice(words, at, n), '') AS gram,
-           at + n - 1 = n_words AS at_end
-    FROM (SELECT *, explode(sequence(1, least({longest}, n_words - at + 1))) AS n
-          FROM (SELECT field_name, raw_value, words, size(words) AS n_words, explode(sequence(1, size(words))) AS at
-                FROM {split} WHERE size(words) > 0))
+    SELECT * FROM (
+        SELECT field_name, raw_value, n_words, at, n, longest, array_join(slice(words, at, n), '') AS gram,
+               at + n - 1 = n_words AS at_end
+        FROM (SELECT *, explode(sequence(1, least(longest, n_words - at + 1))) AS n
+              FROM (SELECT field_name, raw_value, words, longest, size(words) AS n_words, explode(sequence(1, size(words))) AS at
+                    FROM {split} CROSS JOIN (SELECT coalesce(max(length(name)), 0) + 1 AS longest FROM {names}) WHERE size(words) > 0)))
+    WHERE length(gram) <= longest OR n = 1
 """
 
+
 def _values(spark: SparkSession, jobs: DataFrame, field: str) -> DataFrame:
     """Distinct values with their words; a letter-case or look-alike difference is none for the words."""
     return sql(
@@ -53,7 +57,6 @@ def match_locations(spark: SparkSession, jobs: DataFrame, places: DataFrame) ->
 def locations_of(spark: SparkSession, split: DataFrame, places: DataFrame) -> DataFrame:
     """(raw_value, ref_id) of the values that have an entry (0: of several entries, none of which is named)."""
     squeeze = lambda c: NAME.replace("%s", key_sql(c))
-    grams = sql(spark, GRAMS.replace("{longest}", "4"), split=split)
     names = sql(
         spark,
         f"""SELECT location_id, name, kind, {squeeze("country")} AS country
@@ -69,6 +72,7 @@ def locations_of(spark: SparkSession, split: DataFrame, places: DataFrame) -> Da
             UNION SELECT DISTINCT {squeeze("country")}, {squeeze("country_code")}, true FROM {{places}}""",
         places=places,
     )
+    grams = sql(spark, GRAMS, split=split, names=names.select("name").union(countries.select("name")))
     # The country a value names: by name anywhere, by code only as its last word.
     named = sql(
         spark,
@@ -90,8 +94,7 @@ def locations_of(spark: SparkSession, split: DataFrame, places: DataFrame) -> Da
     rest = sql(
         spark,
         """SELECT g.raw_value AS owner, g.gram FROM {grams} g
-           LEFT ANTI JOIN {countries} c ON g.gram = c.name
-           WHERE g.n <= 3""",
+           LEFT ANTI JOIN {countries} c ON g.gram = c.name""",
         grams=grams,
         countries=countries,
     )
@@ -123,7 +126,6 @@ def match_job_types(spark: SparkSession, jobs: DataFrame, types: DataFrame) -> D
     """(field_name, raw_value, ref_id) of `job_type`: a label; its initials; the label's stem; else a misspelt label."""
     squeeze = lambda c: NAME.replace("%s", key_sql(c))
     split = materialise(_values(spark, jobs, "job_type"), "p3-values")
-    grams = sql(spark, GRAMS.replace("{longest}", "3"), split=split)
     names = sql(
         spark,
         f"""SELECT job_type_id, {squeeze("label")} AS name,
@@ -131,6 +133,7 @@ def match_job_types(spark: SparkSession, jobs: DataFrame, types: DataFrame) -> D
             FROM (SELECT job_type_id, label, split({key_sql("label")}, ' ') AS words FROM {{types}})""",
         types=types,
     )
+    grams = sql(spark, GRAMS, split=split, names=names)
     exact = sql(
         spark,
         """SELECT g.raw_value, n.job_type_id, 1 AS how, g.at FROM {grams} g JOIN {names} n ON g.gram = n.name
