@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.rules import QUEUED_STATES, QUEUE_LIMIT
+from tamarisk.operators import filters
+from tamarisk.rules import QUEUE_LIMIT, QUEUED_STATES
+from tamarisk.sources.pages import post_json
+from tamarisk.sources.shared import written
 
 Sender = Callable[[str, str], bool]  # (topic_key, message) -> delivered?
 
@@ -62,6 +66,56 @@ def deliver(rows: DataFrame, sender: Sender, configured: list[str] | None = None
     return rows.select("id", "ord", "topic_key", "message").mapInPandas(run, "id long, ord int, topic_key string, success boolean, error string")
 
 
+class HttpSender:
+    """K1: posts messages to an address as JSON, to the thread of their topic, with a pause after each attempt.
+
+    `threads` maps topics to thread ids; a topic that has none is not configured and is refused without an attempt."""
+
+    def __init__(self, url: str, chat: str, threads: dict[str, int], pause: float = 0.5, timeout: float = 10, post: Callable[..., object] | None = None):
+        self.url, self.chat, self.threads, self.pause, self.timeout, self.post = url, chat, threads, pause, timeout, post
+
+    def __call__(self, topic: str, message: str) -> bool:
+        if topic not in self.threads:
+            return False
+        body = {"chat_id": self.chat, "message_thread_id": self.threads[topic], "text": message, "parse_mode": "HTML", "disable_web_page_preview": True}
+        try:
+            answer = (self.post or post_json)(self.url, body, timeout=self.timeout)
+            return isinstance(answer, dict) and bool(answer.get("ok"))
+        finally:
+            time.sleep(self.pause)
+
+
+def delete_messages(messages: DataFrame, deleter: Callable[[str, int], bool]) -> DataFrame:
+    """K5: service messages (update_id, chat_id, message_id) through the deleter: with `deleted`; an exception is a failure."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def gone(chat: str, message: int) -> bool:
+            try:
+                return bool(deleter(chat, int(message)))
+            except Exception:  # noqa: BLE001
+                return False
+
+        for frame in frames:
+            yield frame.assign(deleted=[gone(c, m) for c, m in zip(frame["chat_id"], frame["message_id"])])
+
+    return messages.select("update_id", "chat_id", "message_id").mapInPandas(run, "update_id long, chat_id string, message_id long, deleted boolean")
+
+
+def deleted_count(done: DataFrame) -> DataFrame:
+    """(n), how many messages were deleted."""
+    return done.agg(F.count_if("deleted").alias("n"))
+
+
+def clean_up(updates: DataFrame, order: str, group_id: str, deleter: Callable[[str, int], bool], acknowledge: Callable[[int], object]) -> int:
+    """Deletes the group's service messages among the updates, then acknowledges all updates; the number deleted."""
+    done = written(delete_messages(filters.service_messages(updates, group_id), deleter), "deleted")
+    offset = filters.next_offset(updates, order).first().next_offset
+    n = deleted_count(done).first().n
+    if offset is not None:
+        acknowledge(offset)
+    return n
+
+
 def default_false(wanted: DataFrame, results: DataFrame) -> DataFrame:
     """Wanted (id, topic_key) with the result, false where there is none."""
     return wanted.join(results.select("id", "topic_key", "success"), ["id", "topic_key"], "left").withColumn("success", F.coalesce("success", F.lit(False)))

@@ -47,8 +47,8 @@ def display_source(rules: RuleSet) -> Column:
 
 
 def topic_names(rows: DataFrame, topics: DataFrame) -> DataFrame:
-    """The topic's name beside its key, the key where the topic has none."""
-    names = topics.select("topic_key", "topic_name").dropDuplicates(["topic_key"])
+    """The topic's name beside its key (the first in order, if there are several), the key where the topic has none."""
+    names = topics.groupBy("topic_key").agg(F.min("topic_name").alias("topic_name"))
     return rows.join(names, "topic_key", "left").withColumn("topic_name", F.coalesce("topic_name", "topic_key"))
 
 

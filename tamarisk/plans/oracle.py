@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from tamarisk import rules as R
 from tamarisk.plans.queries import BASE_A, HOST_B, SPLIT_DAY
 from tamarisk.rules import EXAMPLE as RULES
@@ -178,7 +180,7 @@ ORACLE = {
         '📍 ' || CASE WHEN coalesce(location, '') <> '' THEN {esc('location')} ELSE 'Not specified' END, CASE WHEN coalesce(salary, '') <> '' THEN '💰 ' || {esc('salary')} END,
         CASE WHEN coalesce(job_type, '') <> '' THEN '📋 ' || {esc('job_type')} END, CASE WHEN coalesce(is_remote, false) THEN '🌍 Remote' END, '',
         '🔗 <a href="' || {esc('url')} || '">Apply Now</a>', '📡 Source: ' || {esc(SHOWN)}) AS card FROM jobs""",
-    "link_gaps": f"SELECT page_id, sum(CASE WHEN id % 7 = 0 THEN 2 ELSE 1 END) AS n FROM ({PAGE_A}) GROUP BY 1",
+    "link_counts": f"SELECT page_id, CAST(sum(CASE WHEN id % 7 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n FROM ({PAGE_A}) GROUP BY 1",
     "li_cards": f"SELECT id // {R.PAGE_SIZE_B} AS page_id, count(*) AS n FROM jobs WHERE contains(url, '/jobs/view/') GROUP BY 1",
     "dedup_first_by_url": f"SELECT rtrim(lower({canonical('url')}), '/') AS u, min(id) AS id FROM jobs WHERE url <> '' GROUP BY 1",
     "pattern_types": f"SELECT id, {_present(f'''concat_ws(' ', coalesce(job_type, ''), coalesce(title, ''), coalesce(array_to_string(tags, ' '), ''))''', _TYPES)} AS types FROM jobs",
@@ -188,6 +190,9 @@ ORACLE = {
     "freshness_filter": f"SELECT id FROM jobs WHERE coalesce({AGE} <= 3600, true)",
     "closed_cards": f"SELECT doc_id FROM documents WHERE {any_in('lower(coalesce(text, ' + chr(39) * 2 + '))', R.B_CLOSED)}",
     "service_messages": "SELECT id AS update_id, '-100' AS chat_id, id AS message_id FROM jobs WHERE id % 10 > 0 AND id % 3 > 0 AND id % 4 > 0",
+    "deleted_messages": "SELECT count(*) AS n FROM jobs WHERE id % 10 > 0 AND id % 3 > 0 AND id % 4 > 0 AND id % 7 > 0",
+    "legacy_ids": f"""SELECT id, concat({strip("lower(coalesce(title, ''))")}, '|', {reduce(lambda c, noise: strip(f"replace({c}, {s(noise)}, '')"), R.LEGACY_NOISE, strip("lower(coalesce(company, ''))"))}) AS unique_id,
+        lower(regexp_replace(split_part(split_part(coalesce(url, ''), '?utm', 1), '&utm', 1), '/+$', '')) AS url_id FROM jobs""",
     "upsert_jobs": f"""WITH {HALVES}
         SELECT s.id, s.content_hash, coalesce(l.title, s.title) AS title, CASE WHEN l.id IS NULL THEN s.company ELSE l.company END AS company, s.send_status,
                CAST(epoch(s.first_seen_at) AS BIGINT) AS first_seen, CASE WHEN l.id IS NULL THEN CAST(epoch(s.last_seen_at) AS BIGINT) ELSE 1767225600 END AS last_seen
@@ -231,5 +236,3 @@ ORACLE = {
           array_to_string(CASE WHEN is_remote AND NOT list_contains(types, 'Remote') THEN list_append(types, 'Remote') ELSE types END, '|') AS tags, is_remote, {numbered('url')} AS source_job_id FROM x""",
     "dedup_across_pages": f"WITH p AS ({PAGE_A}) SELECT arg_min(url, page_id) AS url, min(page_id) AS page_id FROM p WHERE title <> '' GROUP BY rtrim(lower(url), '/')",
 }
-# link_gaps counts characters too, which the page's own text decides; the SQL is for the counts of links.
-ORACLE.pop("link_gaps")

