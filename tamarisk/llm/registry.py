@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import batches, formatting, leaks, lookalikes, matching, mixing, names, places, residue
+from .oracle import ORACLE
 
 QUERIES = {
     "p1_found": matching.found,
@@ -22,4 +23,4 @@ QUERIES = {
     "p9_reasons": residue.reasons,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
