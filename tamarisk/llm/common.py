@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import unicodedata
 import uuid
@@ -106,6 +107,13 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver give back the plans and broadcasts of finished steps now: in a run of many small steps they pile up on
+    its heap until a collection of its own, and on the executors until then, too."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _translate(expr: str, pairs: dict[str, str]) -> str:
     quote = lambda s: s.replace("\\", "\\\\").replace("'", "\\'")
     return f"translate({expr}, '{quote(''.join(pairs))}', '{quote(''.join(pairs.values()))}')"

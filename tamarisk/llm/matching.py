@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixture, names, places, titles
-from .common import key_sql, materialise, sql, table
+from .common import key_sql, materialise, release, sql, table
 
 STEP = 0.05  # the grid of similarities
 FEATURES = ["s_words", "s_letters", "s_name", "s_place", "s_ref"]
@@ -78,12 +78,16 @@ def place_keys(spark: SparkSession, rows: DataFrame, ref: DataFrame) -> DataFram
 def classes(spark: SparkSession, jobs: DataFrame, ref: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows (id, src, cls) and classes (cls, org, core, tk, ref, place)."""
     rows, spelt = arranged(jobs)
+    release(spark)
     orgs = materialise(names.link(spelt, "p1").select(F.xxhash64("name").alias("hc"), "org", "core"), "p1-orgs")
+    release(spark)
     spots = materialise(place_keys(spark, rows, ref), "p1-places")
+    release(spark)
     text = rows.select("id", "src", F.xxhash64("company").alias("hc"), F.when(F.col("location").isNotNull(), F.xxhash64("location")).alias("hl"), titles.reference("title").alias("ref"), titles.words("title").alias("words"))
     text = materialise(text.withColumn("h", F.xxhash64("words")), "p1-text")
     heads = titles.canonical(materialise(text.groupBy("h").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n")), "p1-titles"))
     heads = materialise(heads.where("tk <> ''").select("h", "tk", F.xxhash64("tk").alias("ht")), "p1-heads")
+    release(spark)
     full = text.drop("words").join(orgs.select("hc", "org", F.xxhash64("core").alias("hn")), "hc").join(spots, "hl", "left").join(heads.select("h", "ht"), "h")
     full = full.withColumn("cls", F.xxhash64("org", "ht", "ref", "place"))
     full = materialise(full.select("id", "src", "cls", "org", "hn", "ht", "ref", "place"), "p1-full")
@@ -263,6 +267,7 @@ def matched(spark: SparkSession, jobs: DataFrame, ref: DataFrame, least: float =
     """(id_a, id_b, confidence): rows of different sources that advertise the same opening."""
     rows, made = classes(spark, jobs.select("id", "source", "title", "company", "location"), ref)
     pairs = materialise(candidates(made), "p1-pairs")
+    release(spark)
     links = posteriors(spark, pairs, made).where(F.col("p") >= least).select("a", "b", "p")
     left = rows.select(F.col("cls").alias("a"), F.col("id").alias("x"), F.col("src").alias("sx"))
     right = rows.select(F.col("cls").alias("b"), F.col("id").alias("y"), F.col("src").alias("sy"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key, materialise, sql, table
+from .common import key, materialise, release, sql, table
 from .graph import components
 from .pigeonhole import MIN_FUZZY, near_sql, pigeonhole
 
@@ -147,6 +147,7 @@ def link(names: DataFrame, what: str = "p6") -> DataFrame:
     best = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n")))
     forms = parts.groupBy("core").agg(F.sum("n").alias("n"), F.max_by("words", F.struct(F.size("words"), "n", "name")).alias("words"), best("trade").alias("trade"), best("brief").alias("brief"))
     forms = materialise(forms.withColumn("form", F.xxhash64("core")), f"{what}-forms")
+    release(spark)
     # The joined words from each word on, the first ones at the end.
     turn = lambda i: F.array_join(F.concat(F.slice("words", i, F.size("words")), F.slice("words", 1, i - 1)), "")
     turned = forms.select(F.col("core").alias("owner"), F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), turn)).alias("gram")).distinct()

@@ -15,6 +15,7 @@ A value that names a country fits only entries of that country; a name of two en
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import key_sql, materialise, sql, table
 from .pigeonhole import pigeonhole
@@ -27,11 +28,17 @@ GRAMS = """
                at + n - 1 = n_words AS at_end
         FROM (SELECT *, explode(sequence(1, least(longest, n_words - at + 1))) AS n
               FROM (SELECT field_name, raw_value, words, longest, size(words) AS n_words, explode(sequence(1, size(words))) AS at
-                    FROM {split} CROSS JOIN (SELECT coalesce(max(length(name)), 0) + 1 AS longest FROM {names}) WHERE size(words) > 0)))
+                    FROM (SELECT *, {longest} AS longest FROM {split}) WHERE size(words) > 0)))
     WHERE length(gram) <= longest OR n = 1
 """
 
 
+def _grams(spark: SparkSession, split: DataFrame, *lists: DataFrame) -> DataFrame:
+    """The n-grams of values that may be a name of the reference lists."""
+    longest = max(x.agg(F.coalesce(F.max(F.length("name")), F.lit(0)).alias("n")).first().n for x in lists)
+    return sql(spark, GRAMS.replace("{longest}", str(longest + 1)), split=split)
+
+
 def _values(spark: SparkSession, jobs: DataFrame, field: str) -> DataFrame:
     """Distinct values with their words; a letter-case or look-alike difference is none for the words."""
     return sql(
@@ -72,7 +79,9 @@ def locations_of(spark: SparkSession, split: DataFrame, places: DataFrame) -> Da
             UNION SELECT DISTINCT {squeeze("country")}, {squeeze("country_code")}, true FROM {{places}}""",
         places=places,
     )
-    grams = sql(spark, GRAMS, split=split, names=names.select("name").union(countries.select("name")))
+    # Written, since each step below plans them again.
+    names, countries = materialise(names.coalesce(1), "p3-names"), materialise(countries.coalesce(1), "p3-countries")
+    grams = _grams(spark, split, names, countries)
     # The country a value names: by name anywhere, by code only as its last word.
     named = sql(
         spark,
@@ -133,7 +142,8 @@ def match_job_types(spark: SparkSession, jobs: DataFrame, types: DataFrame) -> D
             FROM (SELECT job_type_id, label, split({key_sql("label")}, ' ') AS words FROM {{types}})""",
         types=types,
     )
-    grams = sql(spark, GRAMS, split=split, names=names)
+    names = materialise(names.coalesce(1), "p3-names")
+    grams = _grams(spark, split, names)
     exact = sql(
         spark,
         """SELECT g.raw_value, n.job_type_id, 1 AS how, g.at FROM {grams} g JOIN {names} n ON g.gram = n.name
