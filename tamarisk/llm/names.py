@@ -50,7 +50,7 @@ BRANCH = "head main central regional local north south east west northern southe
 MISSING = "na none null unknown confidential anonymous undisclosed unnamed private tba tbd various company employer organisation organization".split()
 
 LEAST_CORE = 8  # shorter joined words are linked over an edit only in the order written and beside the same generic word
-LEAST_SHORT = 5  # letters of a shortened name; at most all but the last two of the whole one
+LEAST_SHORT = 5  # letters of a shortened name; the cut is in the last two words, two letters or more before the end
 
 
 def _words(column: Column) -> Column:
@@ -168,7 +168,10 @@ def link(names: DataFrame, what: str = "p6") -> DataFrame:
     # A shortened name: the start of the joined words of a whole one (the last word's first letters, alone or run in with
     # the first word).  It goes to the name of most rows among those that it fits.
     short = forms.where("trade IS NOT NULL OR brief IS NOT NULL OR size(words) > 1")
-    cuts = F.sequence(F.lit(LEAST_SHORT), F.length("core") - 2)
+    last_two = F.array_join(F.slice("words", F.greatest(F.size("words") - 1, F.lit(1)), F.lit(2)), "")
+    whole_words = F.length("core") - F.length(last_two)
+    low, high = F.greatest(F.lit(LEAST_SHORT), whole_words + 1), F.length("core") - 2
+    cuts = F.when(low <= high, F.sequence(low, high))
     cut = forms.where(F.length("core") >= LEAST_CORE).select("core", F.explode(F.transform(cuts, lambda i: F.substring(F.col("core"), F.lit(1), i))).alias("short"))
     shortened = sql(
         spark,

@@ -27,7 +27,7 @@ NOTICES = [
 ]
 
 REF_DIGITS = 4  # a number of so many digits or more is a reference
-RATIO = 10  # a word is a misspelling of one within an edit or swap of it that so many times as many titles hold
+RATIO = 4  # a word is a misspelling of one within an edit or swap of it that so many times as many titles hold
 
 
 def reference(column: str) -> Column:
