@@ -85,6 +85,46 @@ def test_pivot_join_is_the_true_neighbourhood(spark):
         assert {(r.id, r.h_id) for r in batches.pivot_join(df, df, radius).select("id", "h_id").distinct().collect()} == want
 
 
+def test_every_day_is_a_batch(spark, monkeypatch):
+    """The query's batches are the days, all of them, and give what one call for each day against the kept history gives."""
+    rows = [(d, f"h{i % 9}", f"https://w.example/jobs/view/{100 + i % 6}") for i, d in enumerate([2, 1, 1, 2, 4, 4, None, 0, 2, 4, 1, 0, 2, 4])]
+    df = batches.prepare(jobs(spark, *(dict(content_hash=h, canonical_url=u, first_seen_at=None if d is None else DAY + dt.timedelta(d)) for d, h, u in rows)))
+    met = []
+    monkeypatch.setattr(batches, "accept", lambda rows, *more, own=batches.accept: met.append(rows) or own(rows, *more))
+    made = pairs(batches.replay(df))
+    monkeypatch.undo()
+    assert sum(x.select("w").distinct().count() for x in met) == 4
+    history, links = None, []
+    for w, day in enumerate([0, 1, 2, 4]):
+        batch = df.where(F.coalesce(F.datediff("seen", F.lit(DAY)), F.lit(4)) == day)
+        repeats, append = batches.accept(batch.withColumn("w", F.lit(w)), history)
+        links += [(r.id, r.accepted) for r in repeats.collect()]
+        history = append if history is None else history.unionByName(append)
+    keys = {k for _, h, u in rows for k in (h, u)}
+    assert history.count() == len(keys)  # each key once
+    order = {i: (d is None, d or 0, i) for i, (d, _, _) in enumerate(rows, 1)}
+    parts = defaultdict(set)
+    for x, c in components(links):
+        parts[c].add(x)
+    heads = {x: min(xs, key=order.get) for xs in parts.values() for x in xs}
+    assert made == {tuple(sorted((x, h))) for x, h in heads.items() if x != h} and len(made) > 8
+
+
+def test_near_keys_are_met_and_are_no_repeats(spark):
+    urls = [f"https://w.example/jobs/view/31{n}" for n in (491411, 491412, 491414, 491419, 491411)] + ["https://w.example/jobs/view/AB1", "https://w.example/jobs/p/ab1", "https://w.example/jobs/p/AB1"]
+    df = batches.prepare(jobs(spark, *(dict(canonical_url=u, first_seen_at=DAY + dt.timedelta(i)) for i, u in enumerate(urls))))
+    points = batches.pivot_rows(batches.points(df.select("id", "seen", F.col("page").alias("key"))))
+    near = {(r.id, r.h_id): r.distance for r in batches.pivot_join(points, points).collect() if r.id < r.h_id <= 5}
+    assert batches.RADIUS == 4 and near == {(1, 2): 1, (1, 3): 3, (2, 3): 2, (1, 5): 0, (2, 5): 1, (3, 5): 3}
+    assert pairs(batches.replay(df)) == {(1, 5)}
+
+
+def test_points_tell_keys_apart(spark):
+    keys = ["", "0", "1", "01", "a", "A", "a1", "a 1", "a01", "100000000", "1", "a-", "x" * 20, "X" * 20, "é9", "w 31491418", "w 031491418"]
+    rows = batches.points(spark.createDataFrame([(k, k) for k in keys], "id string, key string")).collect()
+    assert len({(r.x0, r.x1, r.x2, r.x3) for r in rows}) == len(set(keys)) == len({r.id for r in rows})
+
+
 PLACES = [(1, "Kuhoji", "Egypt", "EG", "KHB", None), (2, "Kuhoji", "Saudi Arabia", "SA", "KHJ", None), (3, "Dunujon", "Jordan", "JO", "DNJ", "دونوجون"), (4, "New Dunujon", "Jordan", "JO", "NDN", None), (5, "Firakel", "Kenya", "KE", "FRK", None)]
 VALUES = {
     "Kuhoji, Egypt": 1, "KUHOJI/SA": 2, "Kuhoji": 0, "khb": 1, "KHJ SA": 2, "New Dunujon": 4, "new dunjon": 4, "Dunujon (Hybrid)": 3, "دونوجون، Jordan": 3, "Greater Firakel Area, Kenya": 5, "Frakel": 5, "Fiarkel - KE": 5,
